@@ -29,7 +29,7 @@ MIN_GROUP = 100
 #: A value is an outlier above q75 + FENCE * (q75 - q25) ...
 FENCE = 4.0
 #: ... but never below these floors, under which no document is rejected, however uniform its group.
-FLOORS = {"symbol_ratio": 0.1, "repeat_ratio": 0.3, "dup_line_ratio": 0.3, "mean_word": 15.0, "upper_ratio": 0.3, "bang_ratio": 0.2}
+FLOORS = {"symbol_ratio": 0.1, "repeat_ratio": 0.3, "dup_line_ratio": 0.7, "mean_word": 15.0, "upper_ratio": 0.3, "bang_ratio": 0.2}
 COUNTS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "n_lines": "long", "n_upper": "long", "n_letters": "long", "n_bangs": "long"}
 #: More groups than this aren't broadcast.
 BROADCAST_GROUPS = 50_000
