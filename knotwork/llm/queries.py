@@ -4,17 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from knotwork.llm import lang_id, mixing, quality_model
 from knotwork.llm.common import read
 from knotwork.llm.quality_rules import quality_rules
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.fit(docs, read(spark, sf_dir, "labels"))
+    scored = quality_model.score(docs, model)
+    return scored.withColumn("held_out", lang_id.held_out(scored["doc_id"])).select("doc_id", "held_out", "score", "predicted", "difference")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules(docs, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    out = lang_id.predict(docs, lang_id.fit(docs), keep=["doc_id"])
+    return out.withColumn("held_out", lang_id.held_out(out["doc_id"])).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE_SQL.format(documents="documents"),
+}
