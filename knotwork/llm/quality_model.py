@@ -1,8 +1,9 @@
 """Quality classifier by compression: zstandard dictionaries built from good and bad labelled text.
 
 A text is compressed in blocks of BLOCK bytes with either dictionary; the difference of the compressed sizes, normalised
-by the size of the text, is turned into a probability of label 1 by isotonic calibration over fitted rows, interpolated between
-the steps. Blocks keep the dictionaries in play over the whole of a long text.
+by the size of the text, becomes a probability of label 1 by logistic calibration. The calibration also sees how far the
+text shrinks at all, since a text that repeats itself shrinks alike with either dictionary. Blocks keep the dictionaries
+in play over the whole of a long text.
 
 Fitting takes at most about FIT_ROWS labelled texts of each label, drawn by a hash of doc_id, of at most FIT_CHARS
 characters: those bounds are parameters. Two thirds of them build the dictionaries, the others calibrate. Scoring covers
@@ -31,14 +32,14 @@ LEVEL = 3
 CUT = 0.3
 
 
-def difference(raw: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> float:
-    """(bad - good) of the compressed sizes over the size of the text: above 0 if the good dictionary fits better."""
+def sizes(raw: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> tuple[float, float]:
+    """The normalised difference (bad - good) / size, above 0 if the good dictionary fits better, and log(good + bad) / size."""
     g = b = 0
     for at in range(0, len(raw), BLOCK):
         part = raw[at : at + BLOCK]
         g += len(good.compress(part))
         b += len(bad.compress(part))
-    return (b - g) / len(raw) if raw else 0.0
+    return ((b - g) / len(raw), float(np.log((b + g) / len(raw)))) if raw else (0.0, 0.0)
 
 
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -56,16 +57,28 @@ def dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
         return b"".join(parts)[:size] or b" " * 8
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
-    """Pool adjacent violators: centres and values of the steps, values kept off 0 and 1."""
-    order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([a, b, 1])
-        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-            top = pools.pop()
-            pools[-1] = [u + v for u, v in zip(pools[-1], top, strict=True)]
-    return [p[0] / p[2] for p in pools], [(p[1] + 0.5) / (p[2] + 1) for p in pools]
+def terms(x: np.ndarray) -> np.ndarray:
+    d, r = x[:, 0] * 10, x[:, 1]
+    return np.stack([np.ones_like(d), d, r, d * d, d * r, r * r, np.maximum(0, -r - 1.5)], axis=1)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
+    """Weighted ridge logistic regression on terms() by Newton steps."""
+    t = terms(x)
+    c = np.zeros(t.shape[1])
+    keep = ridge * np.eye(len(c))
+    keep[0, 0] = 1e-6
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(t @ c, -30, 30)))
+        step = np.linalg.solve(t.T @ (t * (weight * p * (1 - p))[:, None]) + keep, t.T @ (weight * (y - p)) - keep @ c)
+        c += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return c
+
+
+def probability(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(terms(x) @ c, -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", rows: int = FIT_ROWS) -> dict:
@@ -81,16 +94,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         sets[r["y"], int(i % 3 == 2)].append(r["text"].encode("utf-8", "surrogatepass"))
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     if not all(sets.values()):
-        return {"good": b"", "bad": b"", "x": [], "p": [], "prior": 0.5}
+        return {"good": b"", "bad": b"", "c": None, "prior": 0.5}
     good, bad = (dictionary(sets[y, 0]) for y in (1, 0))
     g, b = compressor(good), compressor(bad)
-    x = np.array([difference(t, g, b) for y in (0, 1) for t in sets[y, 1]])
+    x = np.array([sizes(t, g, b) for y in (0, 1) for t in sets[y, 1]])
     y = np.concatenate([np.full(len(sets[y, 1]), y, float) for y in (0, 1)])
-    # the classes were drawn at different rates: odds go back to those of all labels
-    odds = (prior / (1 - prior)) / (len(sets[1, 1]) / len(sets[0, 1]))
-    at, p = isotonic(x, y)
-    p = [q * odds / (q * odds + 1 - q) for q in p]
-    return {"good": good, "bad": bad, "x": at, "p": p, "prior": prior}
+    # the classes were drawn at different rates: weights put them back to their shares of all labels
+    weight = np.where(y == 1, prior / len(sets[1, 1]), (1 - prior) / len(sets[0, 1])) * len(y)
+    return {"good": good, "bad": bad, "c": logistic(x, y, weight), "prior": prior}
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -99,16 +110,16 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | No
 
     def work():
         m = shared.value
-        if m["x"]:
+        if m["c"] is not None:
             g, b = compressor(m["good"]), compressor(m["bad"])
 
         def of(texts: list) -> list[tuple]:
             out = []
             for t in texts:
                 raw = (t or "").encode("utf-8", "surrogatepass")
-                d = difference(raw, g, b) if m["x"] and raw else 0.0
-                s = float(np.interp(d, m["x"], m["p"])) if m["x"] and raw else m["prior"]
-                out.append((s, int(s >= CUT), d))
+                d = sizes(raw, g, b) if m["c"] is not None and raw else (0.0, 0.0)
+                s = float(probability(np.array([d]), m["c"])[0]) if m["c"] is not None and raw else m["prior"]
+                out.append((s, int(s >= CUT), d[0]))
             return out
 
         return of
