@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import lang_id, mixing, quality_model, secrets, suffix_dedup
+from knotwork.llm import lang_id, mixing, ngram_join, quality_model, secrets, suffix_dedup
 from knotwork.llm.common import read
 from knotwork.llm.quality_rules import quality_rules
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,6 +45,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_mixing": op2_mixing,
     "op5_secret_scans": op5_secret_scans,
     "op7_quality_classifier": op7_quality_classifier,
