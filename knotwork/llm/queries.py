@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import html_extract, lang_id, mixing, ngram_join, quality_model, secrets, suffix_dedup
+from knotwork.llm import decontaminate, html_extract, lang_id, mixing, ngram_join, quality_model, secrets, suffix_dedup
 from knotwork.llm.common import read
 from knotwork.llm.quality_rules import quality_rules
 
@@ -21,6 +21,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.selectExpr("doc_id", "size(items) > 0 AS contaminated", "cast(size(items) AS long) AS n_items", "items", "item_edits")
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.report(docs, secrets.train(docs))
@@ -52,6 +57,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_mixing": op2_mixing,
     "op3_html_extraction": op3_html_extraction,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_secret_scans": op5_secret_scans,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
