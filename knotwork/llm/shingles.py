@@ -22,7 +22,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 _cache: list[np.ndarray] = []
 
 
-def _tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
+    """Powers of an odd factor and of its inverse, for sums that give the hash of any stretch of bytes."""
     if not _cache or len(_cache[0]) < n:
         _cache[:] = [_powers(_B, max(n, 1 << 16)), _powers(_INVERSE, max(n, 1 << 16))]
     return _cache
@@ -50,7 +51,7 @@ def word_hashes(raw: bytes) -> np.ndarray:
         edge = np.diff(np.concatenate(([True], blank, [True])).astype(np.int8))
         first, last = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
         if len(first):
-            power, inverse = _tables(len(part))
+            power, inverse = power_tables(len(part))
             with np.errstate(over="ignore"):
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)])))
                 found.append(mixed((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)))

@@ -16,11 +16,10 @@ RECURSE_SYMBOLS = 2048
 def _types(t: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one. t ends with a unique least symbol, which counts as smaller."""
     n = len(t)
-    step = np.sign(np.diff(t.astype(np.int64)))  # > 0: smaller than its successor
-    decided = np.append(step, 1)
-    at = np.where(decided != 0, np.arange(n), n)
+    decided = np.append(t[1:] > t[:-1], True)  # smaller than its successor
+    at = np.where(np.append(t[1:] != t[:-1], True), np.arange(n, dtype=np.int32), np.int32(n))
     following = np.minimum.accumulate(at[::-1])[::-1]
-    return decided[following] > 0
+    return decided[following]
 
 
 def _deal(sa: np.ndarray, heads: np.ndarray, items: np.ndarray, symbols: np.ndarray, forward: bool) -> None:
@@ -31,7 +30,7 @@ def _deal(sa: np.ndarray, heads: np.ndarray, items: np.ndarray, symbols: np.ndar
     items, symbols = items[order], symbols[order]
     first = np.flatnonzero(np.concatenate(([True], symbols[1:] != symbols[:-1])))
     lengths = np.diff(np.append(first, len(items)))
-    rank = np.arange(len(items)) - np.repeat(first, lengths)
+    rank = np.arange(len(items), dtype=np.int32) - np.repeat(first.astype(np.int32), lengths)
     at = heads[symbols]
     sa[at + rank if forward else at - rank] = items
     heads[symbols[first]] += lengths if forward else -lengths
@@ -44,15 +43,15 @@ def _runs(items: np.ndarray, before: np.ndarray) -> np.ndarray:
     if not len(items):
         return items
     which = np.repeat(np.arange(len(items)), r)
-    step = np.arange(len(which)) - np.repeat(np.cumsum(r) - r, r) + 1
+    step = (np.arange(len(which)) - np.repeat(np.cumsum(r) - r, r) + 1).astype(np.int32)
     return (items[which] - step)[np.argsort(step, kind="stable")]
 
 
 def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """The order of all suffixes induced from lms, which is in the wanted order."""
     n = len(t)
-    sa = np.full(n, -1, np.int64)
-    narrow = np.uint16 if len(starts) <= 1 << 16 else np.int64
+    sa = np.full(n, -1, np.int32)
+    narrow = np.uint8 if len(starts) <= 256 else np.uint16 if len(starts) <= 1 << 16 else np.int32
     keys = t.astype(narrow)
     grouped = lms[np.argsort(keys[lms], kind="stable")]
     bounds = np.searchsorted(t[grouped], np.arange(len(starts) + 1))
@@ -65,8 +64,8 @@ def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndar
         scan = np.concatenate((own, grouped[bounds[c] : bounds[c + 1]]))
         sent = scan[scan > 0] - 1
         sent = sent[~smaller[sent]]
-        sent = sent[t[sent] > c]
-        _deal(sa, heads, sent, keys[sent].astype(np.int64) if narrow is np.int64 else keys[sent], True)
+        sent = sent[keys[sent] > c]
+        _deal(sa, heads, sent, keys[sent], True)
     larger_end = heads
     tails = ends - 1
     for c in symbols[::-1]:
@@ -77,7 +76,7 @@ def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndar
         scan = np.concatenate((own, sa[starts[c] : larger_end[c]][::-1]))
         sent = scan[scan > 0] - 1
         sent = sent[smaller[sent]]
-        sent = sent[t[sent] < c]
+        sent = sent[keys[sent] < c]
         _deal(sa, tails, sent, keys[sent], False)
     sa[starts[t[-1]]] = n - 1
     return sa
@@ -101,26 +100,27 @@ def _doubled(t: np.ndarray) -> np.ndarray:
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """The suffix array of t (whole numbers from 0), whose last symbol is least and occurs nowhere else."""
-    t = np.asarray(t, np.int64)
+    t = np.asarray(t, np.int32)
     n = len(t)
     if n < 3:
         return np.argsort(t, kind="stable")
     smaller = _types(t)
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     count = np.bincount(t)
     ends = np.cumsum(count)
     starts = ends - count
     symbols = np.flatnonzero(count)
     # how many equal symbols stand right before each place
     change = np.concatenate(([True], t[1:] != t[:-1]))
-    before = np.arange(n) - np.maximum.accumulate(np.where(change, np.arange(n), 0))
+    place = np.arange(n, dtype=np.int32)
+    before = place - np.maximum.accumulate(np.where(change, place, np.int32(0)))
     sa = _induce(t, smaller, lms, starts.copy(), ends, before, symbols)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ordered = sa[is_lms[sa]]
     if len(ordered) > 1:
         # name the substrings from one leftmost-smaller place to the next: neighbours are compared symbol by symbol
-        end_of = np.full(n, n - 1, np.int64)
+        end_of = np.full(n, n - 1, np.int32)
         end_of[lms[:-1]] = lms[1:]
         a, b = ordered[:-1], ordered[1:]
         differs = (end_of[a] - a) != (end_of[b] - b)
@@ -134,7 +134,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
             active = active[a[active] + offset <= end_of[a[active]]]
         names = np.cumsum(np.concatenate(([0], differs.astype(np.int64))))
         if names[-1] + 1 < len(ordered):
-            name_at = np.empty(n, np.int64)
+            name_at = np.empty(n, np.int32)
             name_at[ordered] = names
             reduced = name_at[lms]
             inner = suffix_array(reduced) if names[-1] < RECURSE_SYMBOLS else _doubled(reduced)
@@ -148,30 +148,29 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, limit: int) -> tuple[np.ndarr
 
     Only irreducible places (whose symbols to the left differ) are compared; the others follow from the place before."""
     n = len(t)
-    prior = np.full(n, -1, np.int64)
+    prior = np.full(n, -1, np.int32)
     prior[sa[1:]] = sa[:-1]
-    at = np.flatnonzero(prior >= 0)
+    at = np.flatnonzero(prior >= 0).astype(np.int32)
     left = prior[at]
     irreducible = at[(at == 0) | (left == 0) | (t[np.maximum(at - 1, 0)] != t[np.maximum(left - 1, 0)])]
     # lengths that reducible places take over can be limit + their distance, so compare as far as the next irreducible one
-    length = np.zeros(n, np.int64)
+    length = np.zeros(n, np.int32)
     ends = np.append(irreducible[1:], n) if len(irreducible) else irreducible
     most = (ends - irreducible) + limit
     i, j, room = irreducible, prior[irreducible], most.copy()
-    padded = np.concatenate((t, np.full(8, -1, np.int64)))
-    done = np.zeros(len(i), np.int64)
+    done = np.zeros(len(i), np.int32)
     active = np.arange(len(i))
     while len(active):
         p, q = i[active] + done[active], j[active] + done[active]
         equal = (p < n) & (q < n)
-        equal[equal] = padded[p[equal]] == padded[q[equal]]
+        equal[equal] = t[p[equal]] == t[q[equal]]
         done[active[equal]] += 1
         active = active[equal]
         active = active[done[active] < room[active]]
     length[irreducible] = done
-    known = np.full(n, -1, np.int64)
+    known = np.full(n, -1, np.int32)
     known[irreducible] = irreducible
     source = np.maximum.accumulate(known)
     ok = (prior >= 0) & (source >= 0)
-    length = np.where(ok, np.maximum(0, length[np.maximum(source, 0)] - (np.arange(n) - source)), 0)
+    length = np.where(ok, np.maximum(0, length[np.maximum(source, 0)] - (np.arange(n, dtype=np.int32) - source)), 0)
     return prior, length

@@ -8,8 +8,11 @@
    and only one copy of each extent is kept as a partner for the others.
 4. The distinct extents of keys that hold several go to shards of about SHARD_BYTES. A shard's suffix array is made by
    induced sorting (suffix_arrays.py), and permuted common prefixes of LENGTH or more mark the repeated windows.
-5. A key with over HOT_EXTENTS distinct extents isn't put into one shard: its windows are compared by hash, first in
-   stretches by the minimizer's place in the window, then, where a stretch is found once only, one by one (128 bits).
+   Before that, extents go whose windows have no chance: all windows that start HALF or more bytes before their minimizer
+   share the bytes around it, and so do the others; if neither core is found in another extent of the key, none repeats.
+5. A key with over HOT_EXTENTS distinct extents or HOT_BYTES of them isn't put into one shard: its windows are compared by hash, first in
+   stretches by the minimizer's place in the window, then, where a stretch is found once only but the core that its
+   windows share more often, one by one (128 bits).
    Counts are aggregated before any shuffle, so no task gets a key's rows as a whole.
 6. Ranges go back to their texts. Texts found twice and of LENGTH bytes or more are covered whole.
 
@@ -32,14 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm.common import materialize, quoted
+from knotwork.llm.shingles import mixed, power_tables
 from knotwork.llm.suffix_arrays import common_prefixes, suffix_array
 
 LENGTH = 200
 GRAM = 32
-SHARD_BYTES = 256 << 10
+SHARD_BYTES = 1 << 20
 HOT_EXTENTS = 1000
+HOT_BYTES = 4 << 20
 #: Windows in a stretch of step 5.
 STRETCH = 13
+HALF = 84
 _SEGMENT = 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
 _B = 0x9E3779B97F4A7C15
@@ -93,7 +99,7 @@ def _extent(packed: int) -> tuple[int, int]:
 def repeated_windows(extents: list[bytes]) -> list[np.ndarray]:
     """For each extent, whether each of its windows is also found elsewhere in the list, by suffix array."""
     sizes = np.array([len(x) for x in extents])
-    t = np.frombuffer(b"\0".join(extents) + b"\0\0", np.uint8).astype(np.int64) + 1
+    t = np.frombuffer(b"\0".join(extents) + b"\0\0", np.uint8).astype(np.int32) + 1
     begin = np.cumsum(sizes + 1) - (sizes + 1)
     separators = begin[1:] - 1
     t[separators] = 1  # one separator symbol, below all bytes (which start at 1 + 1)
@@ -114,6 +120,31 @@ def repeated_windows(extents: list[bytes]) -> list[np.ndarray]:
     return [twice[b : b + s - LENGTH + 1] for b, s in zip(begin.tolist(), sizes.tolist(), strict=True)]
 
 
+def worth_sorting(keys: list[int], extents: list[bytes]) -> list[bool]:
+    """Whether an extent can hold a window that is also found elsewhere among the extents of its key."""
+    every = b"".join(extents)
+    if len(every) >= 1 << 21:
+        return [True] * len(extents)
+    place, _ = least(every)
+    size = np.array([len(x) for x in extents])
+    begin = np.cumsum(size) - size
+    p, end = place[begin], begin + size - LENGTH
+    moving = place[end] != p
+    low, high = p - end, p - begin  # how far before the minimizer windows start
+    power, inverse = power_tables(len(every))
+    key = np.array(keys, np.int64).view(np.uint64)
+    need = np.zeros(len(extents), bool)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((np.frombuffer(every, np.uint8).astype(np.uint64) + np.uint64(1)) * power[: len(every)])))
+        for some, first, last in ((high >= HALF, p - HALF, p + GRAM), (low < HALF, p, p + LENGTH - HALF)):
+            at = np.flatnonzero(some & ~moving)
+            core = mixed((sums[last[at]] - sums[first[at]]) * inverse[first[at]]) ^ key[at]
+            _, which, count = np.unique(core, return_inverse=True, return_counts=True)
+            need[at[count[which] > 1]] = True
+    restless = np.isin(key, key[moving])  # a moving minimizer can meet any core of its key
+    return (need | restless).tolist()
+
+
 def ranges(flags: np.ndarray) -> list[int]:
     """Covered bytes of an extent, as flat starts and ends, from flags for its windows."""
     step = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
@@ -194,29 +225,48 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sorted_shard(shard: pa.Table) -> pa.Table:
+    """(h, e, ranges) of a shard: keys are put together up to SHARD_BYTES, and one suffix array is made of those at a time."""
     rows = {(h, e): x for h, e, x in zip(shard["h"].to_pylist(), shard["e"].to_pylist(), shard["bytes"].to_pylist(), strict=True)}
+    found, batch, held = [], [], 0
+
+    def work() -> None:
+        chosen = [k for k, x in zip(batch, worth_sorting([h for h, _ in batch], [rows[k] for k in batch]), strict=True) if x]
+        if chosen:
+            for k, flags in zip(chosen, repeated_windows([rows[k] for k in chosen]), strict=True):
+                if flags.any():
+                    found.append((*k, ranges(flags)))
+
     keys = sorted(rows)
-    found = [(h, e, ranges(flags)) for (h, e), flags in zip(keys, repeated_windows([rows[k] for k in keys]), strict=True)]
-    found = [x for x in found if x[2]]
+    for at, k in enumerate(keys):
+        if held > SHARD_BYTES and k[0] != keys[at - 1][0]:
+            work()
+            batch, held = [], 0
+        batch.append(k)
+        held += len(rows[k])
+    if batch:
+        work()
     columns = list(zip(*found, strict=True)) if found else [(), (), ()]
     return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["h", "e", "ranges"])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, e, j, f, s, bytes): stretches of an extent's windows whose minimizer is as far in, f their hash, s their first window."""
+    """(h, e, j, f, c, s, bytes): stretches of an extent's windows whose minimizer is one and about as far in; f is the
+    stretch's hash, c that of the core which all windows so far before their minimizer share, s its first window."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256).to_pydict()
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for h, e, raw in zip(part["h"], part["e"], part["bytes"], strict=True):
                 place, _ = least(raw)
                 offset = (place - np.arange(len(place))) // STRETCH
-                first = np.flatnonzero(np.concatenate(([True], offset[1:] != offset[:-1])))
+                first = np.flatnonzero(np.concatenate(([True], (offset[1:] != offset[:-1]) | (place[1:] != place[:-1]))))
                 for s, n in zip(first.tolist(), np.append(first[1:], len(offset)).tolist(), strict=True):
-                    piece = raw[s : n - 1 + LENGTH]
-                    for c, v in zip(out, (h, e, int(offset[s]), xxhash.xxh3_64_intdigest(piece) - (1 << 63), s, piece), strict=True):
+                    piece, j = raw[s : n - 1 + LENGTH], int(offset[s])
+                    core = int(place[s]) - STRETCH * j
+                    values = (h, e, j, xxhash.xxh3_64_intdigest(piece) - (1 << 63), xxhash.xxh3_64_intdigest(raw[core : core + LENGTH + 1 - STRETCH]) - (1 << 63), s, piece)
+                    for c, v in zip(out, values, strict=True):
                         c.append(v)
-            yield _rows(["h", "e", "j", "f", "s", "bytes"], [pa.int64()] * 5 + [pa.binary()], out)
+            yield _rows(["h", "e", "j", "f", "c", "s", "bytes"], [pa.int64()] * 6 + [pa.binary()], out)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,21 +316,27 @@ def _shards_of(normal: DataFrame) -> DataFrame:
 
 def _hot_ranges(hot: DataFrame) -> DataFrame:
     """Step 5: (h, e, ranges) of keys with many extents."""
-    stretches = materialize(hot.select("h", "e", "bytes").mapInArrow(_stretches, "h long, e long, j long, f long, s long, bytes binary"))
+    stretches = materialize(hot.select("h", "e", "bytes").mapInArrow(_stretches, "h long, e long, j long, f long, c long, s long, bytes binary"))
     mark = F.xxhash64("e", "s")
-    alike = stretches.groupBy("h", "j", "f").agg(F.min(mark).alias("x"), F.max(mark).alias("y")).filter("x <> y").select("h", "j", "f")
-    whole = stretches.join(alike, ["h", "j", "f"], "left_semi").select("h", "e", F.array(F.col("s"), F.col("s") + F.length("bytes")).alias("ranges"))
-    mixed = stretches.groupBy("h", "j").agg(F.min("f").alias("x"), F.max("f").alias("y"), F.max(F.length("bytes")).alias("n")).filter(f"x <> y AND n > {LENGTH}").select("h", "j")
-    rest = stretches.join(alike, ["h", "j", "f"], "left_anti").join(mixed, ["h", "j"], "left_semi")
-    single = materialize(rest.select("h", "e", "s", "bytes").mapInArrow(_windows, "h long, e long, s long, w1 long, w2 long"))
-    twice = single.groupBy("w1", "w2").agg(F.min(mark).alias("x"), F.max(mark).alias("y")).filter("x <> y").select("w1", "w2")
-    found = single.join(twice, ["w1", "w2"], "left_semi").select("h", "e", F.array(F.col("s"), F.col("s") + LENGTH).alias("ranges"))
-    # of whole stretches found once, windows can still be equal to those of stretches found twice: those are in `single` only if unique, so look among the others too
-    others = stretches.join(alike, ["h", "j", "f"], "left_semi").join(mixed, ["h", "j"], "left_semi")
-    others = others.groupBy("h", "j", "f").agg(F.min(F.struct("e", "s", "bytes")).alias("one")).select("h", "one.*")
-    partners = materialize(others.select("h", "e", "s", "bytes").mapInArrow(_windows, "h long, e long, s long, w1 long, w2 long"))
-    also = single.join(partners.select("w1", "w2").distinct(), ["w1", "w2"], "left_semi").select("h", "e", F.array(F.col("s"), F.col("s") + LENGTH).alias("ranges"))
-    return whole.unionByName(found).unionByName(also)
+    several = lambda df, *by: df.groupBy(*by).agg(F.min(mark).alias("x"), F.max(mark).alias("y")).filter("x <> y").select(*by)
+    alike = several(stretches, "h", "j", "f")
+    whole = stretches.join(alike, ["h", "j", "f"], "left_semi")
+    rest = stretches.join(alike, ["h", "j", "f"], "left_anti").join(several(stretches, "h", "j", "c"), ["h", "j", "c"], "left_semi")
+    # partners: of stretches found more often, one of each sort
+    others = whole.join(rest.select("h", "j", "c").distinct(), ["h", "j", "c"], "left_semi").groupBy("h", "j", "f").agg(F.min(F.struct("e", "s", "bytes")).alias("one")).select("h", "one.*")
+    single = rest.select("h", "e", "s", "bytes").unionByName(others.select("h", "e", "s", "bytes"))
+    windows = materialize(single.mapInArrow(_windows, "h long, e long, s long, w1 long, w2 long"))
+    found = windows.join(several(windows, "w1", "w2"), ["w1", "w2"], "left_semi")
+    size = F.col("s") + F.length("bytes")
+    each = whole.select("h", "e", F.struct(F.col("s").alias("a"), size.cast("long").alias("b")).alias("r")).unionByName(found.select("h", "e", F.struct(F.col("s").alias("a"), (F.col("s") + LENGTH).alias("b")).alias("r")))
+    # an extent's ranges, no more than it has windows, in as few as they make
+    joined = F.expr(
+        """flatten(transform(aggregate(array_sort(r), cast(array() as array<struct<a: bigint, b: bigint>>),
+        (o, x) -> if(size(o) > 0 AND element_at(o, -1).b >= x.a,
+            concat(slice(o, 1, size(o) - 1), array(named_struct('a', element_at(o, -1).a, 'b', greatest(element_at(o, -1).b, x.b)))),
+            concat(o, array(x)))), x -> array(x.a, x.b)))"""
+    )
+    return each.groupBy("h", "e").agg(F.collect_set("r").alias("r")).select("h", "e", joined.alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -307,8 +363,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     wanted = judged.filter("sort").filter(F.col("one") == place)
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "e", "p")).alias("wanted"))
     cut = texts.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut, "h long, e long, bytes binary")
-    counts = judged.filter("sort").groupBy("h").agg(F.max("extents").alias("extents")).filter(F.col("extents") > HOT_EXTENTS).select("h")
     cut = materialize(cut)
+    heavy = (F.col("extents") > HOT_EXTENTS) | ((F.col("extents") > 1) & (F.col("size") > HOT_BYTES))
+    counts = cut.groupBy("h").agg(F.count(F.lit(1)).alias("extents"), F.sum(F.length("bytes")).alias("size")).filter(heavy).select("h")
     sorted_ranges = _shards_of(cut.join(counts, "h", "left_anti"))
     hot_ranges = _hot_ranges(cut.join(counts, "h", "left_semi"))
     covered = judged.filter("sort AND NOT whole").select("h", "e", "k1", "k2", "p")
