@@ -79,5 +79,11 @@ def map_columns(df: DataFrame, source: str, keep: list[str], added: dict[str, st
     return got.mapInArrow(run, schema)
 
 
+def packed(docs: DataFrame, *needed: str) -> tuple[DataFrame, str]:
+    """docs as one struct column beside the needed ones, so that no column of docs can clash with an added one; and its name."""
+    name = "_row"
+    return docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias(name), *[docs[quoted(c)] for c in needed]), name
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -21,7 +21,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import fresh, map_columns, materialize, quoted
+from knotwork.llm.common import fresh, map_columns, materialize, packed, quoted
 
 ERROR_EVERY = 16
 SHARD_CHARS = 1_000_000
@@ -167,10 +167,5 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of docs, with their columns, in which no item is found."""
-    source = fresh(docs, "_whole")
-    hidden = [f"{c}" for c in docs.columns if c.lower() in ("items", "item_edits")]
-    moved = {c: fresh(docs, f"_own_{c}") for c in hidden}
-    own = docs.withColumn(source, docs[quoted(text)]).withColumnsRenamed(moved)
-    found = find(own, benchmark, source, keep=[c for c in own.columns if c != source], **options)
-    back = {v: k for k, v in moved.items()}
-    return found.filter(F.size("items") == 0).drop("items", "item_edits").withColumnsRenamed(back).select(*[quoted(c) for c in docs.columns])
+    rows, name = packed(docs, text)
+    return find(rows, benchmark, text, keep=[name], **options).filter(F.size("items") == 0).select(f"{name}.*")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import fresh, map_columns, materialize, quoted
+from knotwork.llm.common import map_columns, materialize, packed, quoted
 from knotwork.llm.components import components
 from knotwork.llm.shingles import mixed, shingles
 
@@ -295,12 +295,11 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs, with their columns, of which one of each class stays: the one of least doc_id."""
     _, sets = classes(docs, text, doc_id)
-    key = fresh(docs, "_set")
-    keyed = with_key(docs.withColumn(fresh(docs, "_t"), docs[quoted(text)]), fresh(docs, "_t"), key, docs.columns)
-    root, least = fresh(docs, "_root"), fresh(docs, "_least")
-    info = sets.filter("class_size > 1").select(F.col("id").alias(key), F.col("root").alias(root), F.col("class_id").alias(least))
-    joined = keyed.join(info, key, "left")
-    alone = joined.filter(F.col(root).isNull())
+    rows, name = packed(docs, text)
+    keyed = with_key(rows, text, "id", [name])
+    info = sets.filter("class_size > 1").select("id", "root", F.col("class_id").alias("least"))
+    joined = keyed.join(info, "id", "left")
+    alone = joined.filter(F.col("root").isNull())
     # a class's least doc_id can stand in several rows: one of them stays
-    chosen = joined.filter(F.col(root).isNotNull() & F.col(least).eqNullSafe(F.col(quoted(doc_id)))).dropDuplicates([root])
-    return alone.select(*[quoted(c) for c in docs.columns]).unionByName(chosen.select(*[quoted(c) for c in docs.columns]))
+    chosen = joined.filter(F.col("root").isNotNull() & F.col("least").eqNullSafe(F.col(name)[doc_id])).dropDuplicates(["root"])
+    return alone.select(f"{name}.*").unionByName(chosen.select(f"{name}.*"))

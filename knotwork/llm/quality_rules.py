@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import broadcast_up_to, fresh, map_columns, materialize
+from knotwork.llm.common import broadcast_up_to, fresh, map_columns, materialize, packed
 
 #: Relative error of the sketches.
 ERROR = 0.01
@@ -159,3 +159,9 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     out = joined.withColumns(_metrics()).withColumn("base_failed", base)
     reasons = F.array_compact(F.array(*[F.when(F.col(k) > F.col(f"t_{k}"), F.lit(k)) for k in FLOORS]))
     return out.withColumn("reasons", reasons).withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0)).drop(*keys, "_t_lang", "_t_source")
+
+
+def passing(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of docs, with their columns, that the rules keep."""
+    rows, name = packed(docs, text, lang, source)
+    return quality_rules(rows, text, lang, source, keep=[name], narrow=False).filter("kept").select(f"{name}.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import decontaminate, html_extract, lang_id, mixing, ngram_join, quality_model, secrets, suffix_dedup
+from knotwork.llm import chat_format, decontaminate, html_extract, lang_id, mixing, ngram_join, quality_model, secrets, suffix_dedup
 from knotwork.llm.common import read
 from knotwork.llm.quality_rules import quality_rules
 
@@ -31,6 +31,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(docs, secrets.train(docs))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.recover(read(spark, sf_dir, "conversations"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_model.fit(docs, read(spark, sf_dir, "labels"))
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_html_extraction": op3_html_extraction,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_secret_scans": op5_secret_scans,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,

@@ -5,6 +5,8 @@ and one of ordinary identifiers and words, score every token of TOKEN_LENGTH or
 the log-likelihood ratio of its character pairs; a token above both MIN_RATIO and RATE per pair that overlaps no base
 span is a secret. The models are trained from labelled samples: what the base kinds find (random) and the other tokens
 (ordinary), in documents drawn by a hash of the text, about FIT_DOCS of each sort at most (that bound is a parameter).
+The random sample is filled up with RANDOM_PAIRS pairs of even strings over each of RANDOM_ALPHABETS, in the expected
+numbers, so that keys of kinds that the base patterns don't know are recognised too.
 The counts are a table of character pairs, whatever the input's size; the score table reaches the scan as one row.
 
 Positions are code points, ends exclusive. A text's matches and the pieces between them come from one pattern each; a
@@ -37,6 +39,9 @@ MIN_RATIO = 10.0
 RATE = 0.5
 FIT_DOCS = 4000
 SMOOTHING = 0.5
+BACK_OFF = 20.0
+RANDOM_PAIRS = 100_000
+RANDOM_ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", ALPHABET[:62], ALPHABET[:64])
 REDACTED = "[REDACTED]"
 _WIDTH = len(ALPHABET) + 1
 _BLOCK = 256
@@ -105,6 +110,18 @@ def _codes(token: str) -> str:
     return f"transform(split({token}, ''), c -> locate(c, '{ALPHABET}'))"
 
 
+def _conditional(counts: list[float]) -> list[float]:
+    """P(second | first) for each pair: counts with BACK_OFF of the symbol's own share, which is smoothed by SMOOTHING."""
+    second = [SMOOTHING + sum(counts[b :: _WIDTH]) for b in range(_WIDTH)]
+    total = sum(second)
+    out = []
+    for a in range(_WIDTH):
+        row = counts[a * _WIDTH : (a + 1) * _WIDTH]
+        size = sum(row) + BACK_OFF
+        out += [(n + BACK_OFF * s / total) / size for n, s in zip(row, second, strict=True)]
+    return out
+
+
 def train(docs: DataFrame, text: str = "text", fit_docs: int = FIT_DOCS) -> DataFrame:
     """The score table, one row: weights, an array over character pairs of log P(pair | random) - log P(pair | ordinary)."""
     spark = docs.sparkSession
@@ -120,15 +137,16 @@ def train(docs: DataFrame, text: str = "text", fit_docs: int = FIT_DOCS) -> Data
     pairs = F.expr(f"transform(sequence(0, size(codes) - 2), i -> codes[i] * {_WIDTH} + codes[i + 1])")
     tokens = random.unionByName(ordinary).filter(F.length("token") > 1).withColumn("codes", F.expr(_codes("token")))
     counted = tokens.select("y", F.explode(pairs).alias("pair")).groupBy("y", "pair").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 * _WIDTH ** 2 rows
-    n = [[SMOOTHING] * (_WIDTH * _WIDTH) for _ in range(2)]
+    n = [[0.0] * (_WIDTH * _WIDTH) for _ in range(2)]
     for r in counted:
         n[r["y"]][r["pair"]] += r["n"]
-    if not any(r["y"] == 1 for r in counted):  # no sample of random strings: all pairs alike
-        n[1] = [1.0] * (_WIDTH * _WIDTH)
-    weights = []
-    rows = [[sum(k[a * _WIDTH : (a + 1) * _WIDTH]) for a in range(_WIDTH)] for k in n]
-    for a in range(_WIDTH):
-        weights += [math.log(n[1][a * _WIDTH + b] / rows[1][a]) - math.log(n[0][a * _WIDTH + b] / rows[0][a]) for b in range(_WIDTH)]
+    for alphabet in RANDOM_ALPHABETS:
+        codes = [ALPHABET.index(c) + 1 for c in alphabet]
+        for a in codes:
+            for b in codes:
+                n[1][a * _WIDTH + b] += RANDOM_PAIRS / len(codes) ** 2
+    chances = [_conditional(k) for k in n]
+    weights = [math.log(x) - math.log(y) for x, y in zip(chances[1], chances[0], strict=True)]
     listed = ",".join(f"{w:.4f}" for w in weights)
     return materialize(spark.range(1).select(F.split(F.lit(listed), ",").cast("array<double>").alias("weights")))
 
@@ -167,8 +185,9 @@ def report(docs: DataFrame, model: DataFrame, text: str = "text", keep: list[str
     return found.select(*[F.col(quoted(c)) for c in keep], *number, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(name).alias("spans"))
 
 
-def redact(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span (overlapping ones together) of the text replaced by REDACTED; the columns stay as they are."""
+def redact(docs: DataFrame, model: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
+    """docs with every span (overlapping ones together) of the text replaced by REDACTED, and column `length`, if there is
+    one, brought up to date in the rows that change; the columns stay as they are."""
     name = fresh(docs, "_spans")
     found = scan(docs, model, text, name)
     cut = F.expr(
@@ -176,4 +195,8 @@ def redact(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
         (a, x) -> named_struct('at', greatest(a.at, x.end), 'out', if(x.start >= a.at, concat(a.out, array(substring({quoted(text)}, a.at + 1, x.start - a.at), '{REDACTED}')), a.out)),
         a -> concat(array_join(a.out, ''), substring({quoted(text)}, a.at + 1)))"""
     )
-    return found.withColumn(text, F.when(F.size(name) > 0, cut).otherwise(F.col(quoted(text)))).select(*docs.columns)
+    changed = F.size(name) > 0
+    found = found.withColumn(text, F.when(changed, cut).otherwise(F.col(quoted(text))))
+    if length in docs.columns:
+        found = found.withColumn(length, F.when(changed, F.length(F.col(quoted(text))).cast(docs.schema[length].dataType)).otherwise(F.col(quoted(length))))
+    return found.select(*[quoted(c) for c in docs.columns])
