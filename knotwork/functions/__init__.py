@@ -1 +1 @@
-"""functions."""
+"""Typed expressions and the scalar functions."""

@@ -1 +1 @@
-"""operators."""
+"""Graph operators: recursive paths, whole-graph algorithms, writes, introspection."""

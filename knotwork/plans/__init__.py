@@ -1 +1 @@
-"""plans."""
+"""From text to DataFrames: lexer, parser, syntax trees, translator."""

@@ -1 +1 @@
-"""sources."""
+"""Files: CSV with a sniffed dialect, Parquet, NPY, Arrow."""
