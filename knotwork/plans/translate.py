@@ -850,7 +850,7 @@ class Translator:
         where_needs = self.needs
 
         def read(v: str) -> set[str]:
-            return where_needs(v) | ({"*"} if v in in_paths else set())
+            return where_needs(v) | ({"*"} if v in in_paths else set()) | {k.lower() for p in nodes.get(v, []) for k, _ in p.props}
 
         messages: dict[str, list[DataFrame]] = {}
         pending = list(edges)
