@@ -267,6 +267,8 @@ def _to_union(e: E, t: Ty) -> Column:
         out = F.lit(None)
         for f, a in reversed(list(zip(t.fields, t.args, strict=True))):
             tried = e.col.try_cast(spark_type(a))
+            if a.name in BOUNDS:
+                tried = F.when(tried.between(*[F.lit(str(x)).cast("decimal(38,0)") for x in BOUNDS[a.name]]), tried)
             out = F.when(tried.isNotNull(), made(f, tried)).otherwise(out)
         return out
     for f, a in zip(t.fields, t.args, strict=True):

@@ -116,11 +116,11 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "list_lambda": ("MATCH (d:Document) WITH d.doc_id AS k, string_split(left(d.text, 80), ' ') AS w RETURN k, list_transform(w, x -> size(x)) AS z, list_filter(w, x -> size(x) > 4) AS f, list_reduce(list_transform(w, x -> size(x)), (a, b) -> a + b) AS t", "SELECT k, list_transform(w, lambda x: length(x)) AS z, list_filter(w, lambda x: length(x)>4) AS f, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS t FROM (SELECT doc_id AS k, CASE WHEN len(p)=0 THEN p ELSE list_concat(list_filter(p[:-2], lambda x: x<>''), p[-1:]) END AS w FROM (SELECT doc_id, string_split(left(text,80),' ') AS p FROM documents))"),
     "list_comprehension": ("MATCH (p:Part) RETURN p.p_partkey AS k, [x IN range(1, 5) WHERE x > 2 | x * p.p_size] AS l, [x IN [1, 2, 3]] AS m", "SELECT p_partkey AS k, [(3*p_size)::BIGINT,(4*p_size)::BIGINT,(5*p_size)::BIGINT] AS l, [1::BIGINT,2,3] AS m FROM part"),
     "list_quantifiers": ("MATCH (p:Part) WITH p.p_partkey AS k, [p.p_size, 10, NULL] AS l RETURN k, any(x IN l WHERE x > 20) AS a, all(x IN l WHERE x > 5) AS b, none(x IN l WHERE x > 40) AS c, single(x IN l WHERE x = 10) AS d", "SELECT p_partkey AS k, p_size>20 AS a, false AS b, NOT p_size>40 AS c, p_size<>10 AS d FROM part"),
-    "list_sort_slice": ("MATCH (p:Part) WITH p.p_partkey AS k, [p.p_size, 30, 10, 20] AS l RETURN k, list_sort(l) AS s, list_reverse_sort(l) AS r, l[2:3] AS m, l[-1] AS z, list_contains(l, 30) AS c, list_position(l, 20) AS p, list_distinct(l + [30]) AS u, list_sum(l) AS t", "SELECT k, list_sort(l) AS s, list_reverse_sort(l) AS r, l[2:3] AS m, l[-1] AS z, true AS c, list_position(l,20::BIGINT) AS p, CASE WHEN l[1] IN (30,10,20) THEN list_filter([l[1],30,10,20], lambda x, i: i=1 OR x<>l[1]) ELSE l END AS u, list_sum(l)::BIGINT AS t FROM (SELECT p_partkey AS k, [p_size::BIGINT,30,10,20] AS l FROM part)"),
+    "list_sort_slice": ("MATCH (p:Part) WITH p.p_partkey AS k, [p.p_size, 30, 10, 20] AS l RETURN k, list_sort(l) AS s, list_reverse_sort(l) AS r, l[2:3] AS m, l[-1] AS z, list_contains(l, 30) AS c, list_position(l, 20) AS p, list_distinct(l + [30]) AS u, list_sum(l) AS t", "SELECT k, list_sort(l) AS s, list_reverse_sort(l) AS r, l[2:3] AS m, l[-1] AS z, true AS c, list_position(l,20::BIGINT)::BIGINT AS p, CASE WHEN l[1] IN (30,10,20) THEN list_filter([l[1],30,10,20], lambda x, i: i=1 OR x<>l[1]) ELSE l END AS u, list_sum(l)::BIGINT AS t FROM (SELECT p_partkey AS k, [p_size::BIGINT,30,10,20] AS l FROM part)"),
     "struct_map": ("MATCH (p:Part) WITH p.p_partkey AS k, {size: p.p_size, brand: p.p_brand} AS s, map(['a', 'b', 'a'], [1, p.p_size, 3]) AS m RETURN k, s.size AS z, struct_extract(s, 'brand') AS b, map_extract(m, 'a') AS a, element_at(m, 'x') AS e, map_keys(m) AS ks, size(m) AS n", "SELECT p_partkey AS k, p_size AS z, p_brand AS b, [1::BIGINT,3] AS a, []::BIGINT[] AS e, ['a','b','a'] AS ks, 3::BIGINT AS n FROM part"),
     "union_value": ("MATCH (p:Part) WITH p.p_partkey AS k, union_value(num := p.p_size) AS u RETURN k, union_tag(u) AS t, union_extract(u, 'num') AS v", "SELECT p_partkey AS k, 'num' AS t, p_size AS v FROM part"),
     "vector_similarity": ("MATCH (a:Vector), (b:Vector) WHERE a.vec_id = 0 AND b.vec_id > 0 RETURN b.vec_id AS k, array_cosine_similarity(a.embedding, b.embedding) > 0.1 AS near, array_distance(a.embedding, b.embedding) < 1.3 AS close, array_dot_product(a.embedding, b.embedding) < 0.0 AS away", "SELECT b.vec_id AS k, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.1 AS near, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 1.3 AS close, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 0 AS away FROM embeddings a, embeddings b WHERE a.vec_id=0 AND b.vec_id>0"),
-    "json_props": ("MATCH (e:Event) WITH e.event_id AS k, CAST(e.props AS JSON) AS j RETURN k, CAST(j.page AS STRING) AS page", None),
+    "json_props": ("MATCH (e:Event) WITH e.event_id AS k, CAST(e.props AS JSON) AS j RETURN k, CAST(CAST(j.k AS STRING) AS INT64) AS v, j.nothing IS NULL AS x", "SELECT event_id AS k, json_extract_string(props, '$.k')::BIGINT AS v, true AS x FROM events"),
     "hash_functions": ("MATCH (c:Customer) RETURN c.c_custkey AS k, md5(c.c_name) AS m, sha256(c.c_name) AS s", "SELECT c_custkey AS k, md5(c_name) AS m, sha256(c_name) AS s FROM customer"),
     # recursive paths
     "var_walk": ("MATCH (a:Turn)-[e:REPLIES*1..3]->(b:Turn) RETURN length(e) AS l, count(*) AS n", f"WITH RECURSIVE {_REPLIES}, w AS (SELECT s, d, 1 AS l FROM replies UNION ALL SELECT w.s, r.d, l+1 FROM w JOIN replies r ON r.s=w.d WHERE l<3) SELECT l::BIGINT AS l, count(*) AS n FROM w GROUP BY 1"),

@@ -115,6 +115,8 @@ def read_csv(session, paths: list[str], options: dict, columns: list[tuple[str,
     escape = escape if escape is not None else ('"' if any('""' in x for x in head) else "\\")
     rows = list(csv.reader(io.StringIO("\n".join(head)), delimiter=delim, quotechar=quote or None, doublequote=escape == '"', escapechar=None if escape == '"' else escape))
     rows = [r for r in rows if r]
+    if options.get("HEADER"):  # each part of a folder has its own
+        rows = rows[:1] + [r for r in rows[1:] if r != rows[0]]
     width = max((len(r) for r in rows), default=len(columns or []))
     nulls = options.get("NULL_STRINGS", [""])
     nulls = [nulls] if isinstance(nulls, str) else nulls
