@@ -127,10 +127,11 @@ class Catalog:
         self.nodes[name] = NodeTable(name, self.new_id(), made, key, columns, no_nan=no_nan)
         return self.nodes[name]
 
-    def add_rels(self, name: str, pairs: dict[tuple[str, str], tuple[DataFrame, str, str]], key: Column | str | None = None, no_nan: bool = False) -> RelTable:
+    def add_rels(self, name: str, pairs: dict[tuple[str, str], tuple[DataFrame, str, str]], key: Column | str | None = None, no_nan: bool = False, many: str = "MANY_MANY") -> RelTable:
         """DataFrames as a relationship table: (from, to) -> (df, column of the from key, column of the to key). Other columns are properties.
 
-        key: an expression that tells the relationships of a pair apart; without one, a hash of the row does."""
+        key: an expression that tells the relationships of a pair apart; without one, a hash of the row does. many: how many
+        relationships a node has (MANY_ONE: one going out, ONE_MANY: one coming in); the planner trusts it."""
         if self.has(name):
             raise CatalogError(f"{name} already exists in catalog.")
         made, ids, columns = {}, {}, {}
@@ -141,7 +142,7 @@ class Catalog:
             made[a, b] = df.select(place(src, self.node(a)).alias("_src"), place(dst, self.node(b)).alias("_dst"), off.alias("_off"), *props)
             ids[a, b] = self.new_id()
             columns |= {c: engine_type(df.schema[c].dataType) for c in props}
-        self.rels[name] = RelTable(name, ids, made, columns, no_nan=no_nan)
+        self.rels[name] = RelTable(name, ids, made, columns, many=many, no_nan=no_nan)
         return self.rels[name]
 
     def empty(self, spark, columns: dict[str, Ty], rel: bool) -> DataFrame:

@@ -626,8 +626,8 @@ class Translator:
         outer, free = self.correlation(frame, paths, where)
         hold = self.needs
         self.needs = self.inner_needs(paths, where)
-        if hold is not self.needs:
-            for v, props in hold.of.items():
+        for v, props in hold.of.items():
+            if not (free and v in outer):  # worked out for all nodes at once: of those it reads only what it names itself
                 self.needs.of.setdefault(v, set()).update(props)
         try:
             if free:
@@ -921,9 +921,12 @@ class Translator:
             ready = [e for e in pending if bound(e["left"]) or bound(e["right"])]
             if not ready:
                 ends = dict.fromkeys(x for e in pending for x in (e["left"], e["right"]))
-                start = max(ends, key=lambda v: self.worth(v, nodes, tables, m.where, sum(v in (e["left"], e["right"]) for e in pending)))
-                # a start that only passes rows on needs no scan: its first relationship names it
-                e = next((e for e in pending if start in (e["left"], e["right"]) and not e["rel"].hops), None)
+                worth = {v: self.worth(v, nodes, tables, m.where, 0) for v in ends}
+                widest = {v: max(self.closure(e, pending, tables) for e in pending if v in (e["left"], e["right"])) for v in ends}
+                start = max(ends, key=lambda v: (worth[v], widest[v]))
+                # a start that only passes rows on needs no scan: the relationship that leads furthest without fan-out names it
+                near = [e for e in pending if start in (e["left"], e["right"]) and not e["rel"].hops]
+                e = max(near, key=lambda e: self.closure(e, pending, tables)) if near else None
                 if e is not None and state["df"] is None and not messages.get(start):
                     pending.remove(e)
                     self.first_edge(state, e, start, tables, read, bind)
@@ -931,8 +934,17 @@ class Translator:
                     continue
                 bind(start, None, len(tables[start]) > 1, None)
                 continue
-            ready.sort(key=lambda e: (not (bound(e["left"]) and bound(e["right"])), bool(e["rel"].hops)))
+            single = lambda e: self.functional(e, e["left"] if bound(e["left"]) else e["right"], tables)
+            ready.sort(key=lambda e: (not (bound(e["left"]) and bound(e["right"])), bool(e["rel"].hops), not single(e)))
             e = ready[0]
+            if not (bound(e["left"]) and bound(e["right"])) and not single(e) and not e["rel"].hops:
+                pair = self.closing_pair(e, ready, bound, tables)
+                if pair:
+                    self.extend_pair(state, pair, tables, read, bind)
+                    for x in pair:
+                        pending.remove(x)
+                        self.rel_inline(state, x)
+                    continue
             pending.remove(e)
             if e["rel"].hops:
                 routes.extend(self, state, e, tables, read, bind, in_paths)
@@ -979,6 +991,67 @@ class Translator:
                 equal, near = max(equal, (2 if key else 1) if c[1] == "=" else 0), 1
         return equal, near, degree
 
+    def functional(self, e: dict, v: str, tables: dict) -> bool:
+        """Whether each node of v has one such relationship at most, by the tables' multiplicity."""
+        if e["rel"].hops or e["left"] == e["right"]:
+            return False
+        steps = self.steps(e["rel"], tables[e["left"]], tables[e["right"]])
+        from_left = v == e["left"]
+        seen = [((pair[0] if forward else pair[1]) if from_left else (pair[1] if forward else pair[0])) for _, pair, forward in steps]
+        one = all(t.many.split("_")[1 if forward == from_left else 0] == "ONE" for t, _, forward in steps)
+        return one and len(set(seen)) == len(seen)
+
+    def closure(self, e: dict, pending: list[dict], tables: dict) -> int:
+        """How many nodes a relationship leads to without fan-out."""
+        if e["rel"].hops:
+            return 0
+        known, grown = {e["left"], e["right"]}, True
+        while grown:
+            grown = False
+            for x in pending:
+                for v, w in ((x["left"], x["right"]), (x["right"], x["left"])):
+                    if v in known and w not in known and self.functional(x, v, tables):
+                        known.add(w)
+                        grown = True
+        return len(known)
+
+    def closing_pair(self, e: dict, ready: list[dict], bound, tables: dict) -> list[dict] | None:
+        """Two relationships from one new node to nodes that are bound, of which one is single for the new node: joined with
+        each other first (no more rows than the other one has), they meet the rest by both bound ends at once."""
+        new = e["right"] if bound(e["left"]) else e["left"]
+        both = [x for x in ready if not x["rel"].hops and new in (x["left"], x["right"]) and x["left"] != x["right"]]
+        if len(both) == 2 and any(self.functional(x, new, tables) for x in both):
+            return both
+        return None
+
+    def extend_pair(self, state: dict, pair: list[dict], tables: dict, read, bind) -> None:
+        rels, frames, ends = [], [], []
+        new = next(v for v in (pair[0]["left"], pair[0]["right"]) if v not in state["scope"])
+        for e in pair:
+            steps = self.steps(e["rel"], tables[e["left"]], tables[e["right"]])
+            rel = self.make_rel(e, steps, read)
+            rels.append(rel)
+            frames.append(self.rel_frame(steps, rel.prefix, rel.columns, list(rel.loads)))
+            ends.append(("a", "b") if e["left"] == new else ("b", "a"))  # the new node's side, the bound one's
+        (n0, b0), (n1, b1) = ends
+        p, q = rels[0].prefix, rels[1].prefix
+        many = len(tables[new]) > 1
+        cond = F.col(f"{p}__{n0}") == F.col(f"{q}__{n1}")
+        if many:
+            cond = cond & (F.col(f"{p}__{n0}t") == F.col(f"{q}__{n1}t"))
+        both = frames[0].join(frames[1], cond)
+        conds = []
+        for e, rel, side in zip(pair, rels, (b0, b1), strict=True):
+            node = state["scope"][e["right"] if e["left"] == new else e["left"]]
+            conds.append(node.off() == F.col(f"{rel.prefix}__{side}"))
+            conds.append(node.tab() == F.col(f"{rel.prefix}__{side}t"))
+        state["df"] = state["df"].join(both, reduce(lambda x, y: x & y, conds))
+        prefix = self.fresh(new)
+        state["df"] = state["df"].withColumns({f"{prefix}__off": F.col(f"{p}__{n0}"), **({f"{prefix}__tab": F.col(f"{p}__{n0}t")} if many else {})})
+        bind(new, None, many, prefix)
+        for e, rel in zip(pair, rels, strict=True):
+            self.settle(state, rel, e)
+
     def first_edge(self, state: dict, e: dict, start: str, tables: dict, read, bind) -> None:
         """Begin with a relationship table itself: both its ends come from it."""
         steps = self.steps(e["rel"], tables[e["left"]], tables[e["right"]])

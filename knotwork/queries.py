@@ -24,14 +24,14 @@ def graph(spark: SparkSession, sf_dir: str) -> Session:
         c.add_nodes(label, t[table], key, no_nan=True)
     turns = t["conversations"].select((F.col("conv_id") * 1000000 + F.col("turn")).alias("id"), "conv_id", "turn", "role", "text")
     c.add_nodes("Turn", turns, "id")
-    c.add_rels("IN_REGION", {("Nation", "Region"): (t["nation"].select("n_nationkey", "n_regionkey"), "n_nationkey", "n_regionkey")}, "n_nationkey")
-    c.add_rels("IN_NATION", {("Customer", "Nation"): (t["customer"].select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey"), ("Supplier", "Nation"): (t["supplier"].select("s_suppkey", "s_nationkey"), "s_suppkey", "s_nationkey")})
-    c.add_rels("PLACED", {("Customer", "Orders"): (t["orders"].select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderkey")}, "o_orderkey")
+    c.add_rels("IN_REGION", {("Nation", "Region"): (t["nation"].select("n_nationkey", "n_regionkey"), "n_nationkey", "n_regionkey")}, "n_nationkey", many="MANY_ONE")
+    c.add_rels("IN_NATION", {("Customer", "Nation"): (t["customer"].select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey"), ("Supplier", "Nation"): (t["supplier"].select("s_suppkey", "s_nationkey"), "s_suppkey", "s_nationkey")}, many="MANY_ONE")
+    c.add_rels("PLACED", {("Customer", "Orders"): (t["orders"].select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderkey")}, "o_orderkey", many="ONE_MANY")
     line = t["lineitem"].select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     c.add_rels("CONTAINS", {("Orders", "Part"): (line, "l_orderkey", "l_partkey")}, "l_orderkey * 64 + l_linenumber", no_nan=True)
     c.add_rels("SUPPLIED", {("Supplier", "Part"): (t["lineitem"].select("l_suppkey", "l_partkey").distinct(), "l_suppkey", "l_partkey")})
     step = turns.filter("turn > 0").select((F.col("id") - 1).alias("prior"), F.col("id").alias("next"))
-    c.add_rels("REPLIES", {("Turn", "Turn"): (step.join(turns.select(F.col("id").alias("prior")), "prior", "left_semi"), "prior", "next")}, "next")
+    c.add_rels("REPLIES", {("Turn", "Turn"): (step.join(turns.select(F.col("id").alias("prior")), "prior", "left_semi"), "prior", "next")}, "next", many="ONE_ONE")
     return s
 
 
