@@ -388,7 +388,10 @@ def compare(op: str, a: E, b: E) -> E:
 
 
 def entity_equal(a: E, b: E) -> Column:
-    return reduce(lambda u, v: u & v, [p == q for p, q in zip(a.entity.key_columns(), b.entity.key_columns(), strict=True)])
+    x, y = a.entity, b.entity
+    same = x.off() == y.off()
+    known = x.kind == "node" and y.kind == "node" and len(x.tables) == len(y.tables) == 1 and x.tables[0].id == y.tables[0].id
+    return same if known else same & (x.tab() == y.tab())
 
 
 def truth(e: E) -> Column:

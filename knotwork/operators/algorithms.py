@@ -186,9 +186,8 @@ ALGORITHMS = {
 
 def source(tr, c):
     """The rows of CALL algorithm(nodes, rels, ...), and what its outputs are bound to."""
-    from knotwork.functions.expr import cast
     from knotwork.plans.translate import Node, Value, merged
-    from knotwork.types import BOOL, DOUBLE, INT64, engine_type
+    from knotwork.types import engine_type
 
     f, output, options = ALGORITHMS[c.name.lower()]
     if len(c.args) < 2:
@@ -234,5 +233,4 @@ def source(tr, c):
     prefix, value = tr.fresh("node"), tr.fresh(output)
     df = materialize(out.select(F.col("v.offset").alias(f"{prefix}__off"), F.col("v.table").alias(f"{prefix}__tab"), F.col(output).alias(value)))
     node = Node(prefix, nodes, merged(nodes, "node") if nodes else {}, True)
-    del cast, BOOL, DOUBLE, INT64
     return df, {"node": node, output: Value(value, engine_type(df.schema[value].dataType))}

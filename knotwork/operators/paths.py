@@ -120,13 +120,11 @@ def extend(tr, state: dict, e: dict, tables: dict, read, bind, in_paths: set) ->
     involved = list({n: tr.catalog.node(n) for _, p, _ in steps for n in p}.values()) or every
     nty, rty = node_type(involved), rel_type(list({t.name: t for t, _, _ in steps}.values()))
     edges = _edges(tr, e, e["name"], steps, values, r.weight)
-    if not forward and values:
-        pass  # relationship values keep their own direction
     s = state["scope"][start]
     starts = state["df"].select(s.tab().cast("bigint").alias("st"), s.off().alias("so")).filter("so IS NOT NULL").distinct()
     people = None
     if values or (r.step and r.step[2] is not None and any(_reads(c, r.step[1]) for c in tr.conjuncts(r.step[2]))):
-        from knotwork.plans.translate import Node, merged
+        from knotwork.plans.translate import Node
 
         columns = dict(zip(nty.fields[2:], nty.args[2:], strict=True))
         node = Node(tr.fresh("m"), involved, columns, True, True, {})
@@ -138,7 +136,6 @@ def extend(tr, state: dict, e: dict, tables: dict, read, bind, in_paths: set) ->
                 if _reads(c, r.step[1]):
                     gate = gate & X.truth(tr.expr(c, {r.step[1]: node}))
         people = scan.select(node.tab().cast("bigint").alias("nt"), node.off().alias("no"), gate.alias("gate"), *([shaped(node.value().col, node.value().ty, nty).alias("node")] if values else []))
-        del merged
     gated = people is not None and r.step is not None and r.step[2] is not None
     found = _Walk(tr, starts, edges, people if (values or gated) else None, values, gated, spark_type(nty), spark_type(rty)).run(mode, low, high)
     prefix = tr.fresh(e["name"])
@@ -183,7 +180,6 @@ class _Walk:
 
     def step(self, cur: DataFrame, hop: int, rids: bool, inner: bool, cost: bool = False) -> DataFrame:
         """One more hop. From the second on, the place reached so far becomes an intermediate node."""
-        names = cur.columns
         if hop > 1 and self.people is not None:
             cur = cur.join(self.people, (F.col("ct") == F.col("nt")) & (F.col("co") == F.col("no")))
             if self.gated:
@@ -206,7 +202,6 @@ class _Walk:
         if cost:
             out["cost"] = F.col("cost") + F.col("w")
             out["via"] = place
-        del names
         return nxt.select(*[c.alias(k) for k, c in out.items()])
 
     def run(self, mode: str, low: int, high: int) -> DataFrame:
@@ -311,7 +306,7 @@ def assemble(tr, frame, var: str, names: list[str]):
                 v = p.value()
                 rels.append(F.array(shaped(v.col, v.ty, rty)))
             else:
-                nodes.append(F.transform(p.part("nodes"), lambda x, t=p.node_ty: shaped(x, t, nty)) if False else F.transform(p.part("nodes"), _shaper(p.node_ty, nty)))
+                nodes.append(F.transform(p.part("nodes"), _shaper(p.node_ty, nty)))
                 rels.append(F.transform(p.part("rels"), _shaper(p.rel_ty, rty)))
         made[f"{prefix}__nodes"] = F.concat(*nodes)
         made[f"{prefix}__rels"] = F.concat(*rels) if rels else F.array().cast(list_type(spark_type(rty)))

@@ -157,8 +157,6 @@ def merge(tr, frame, c):
     from knotwork.plans.translate import Frame
 
     base, place, _ = numbered(tr, tr.start(frame))
-    anchor = {"_place": _Place(place)}
-    matched = base
     scope = {**frame.scope}
     from knotwork.plans.translate import Value
     from knotwork.types import INT64
@@ -166,7 +164,6 @@ def merge(tr, frame, c):
     scope["_place"] = Value(place, INT64)
     got = tr.pattern(Frame(base, scope), A.Match(False, c.paths, None), False)
     matched = materialize(got.df)
-    del anchor
     missing = base.join(matched.select(place).distinct(), place, "left_anti")
     # rows that would create the same thing create it once
     tr.frame = Frame(missing, frame.scope)
@@ -200,11 +197,6 @@ def merge(tr, frame, c):
     return both
 
 
-class _Place:
-    def __init__(self, name: str):
-        self.name = name
-
-
 def _aligned(tr, a, b):
     """The rows of two frames with the same variables, as one."""
     from knotwork.plans.translate import Frame, Node, Rel

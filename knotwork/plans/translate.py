@@ -216,6 +216,8 @@ class Needs:
                 self.add(e[1], "*")
             elif e[0] == "lit":
                 return
+            elif e[0] == "call" and e[1] in ("start_node", "end_node") and e[2] and e[2][0][0] == "var":
+                self.add(e[2][0][1], "*ends")
             elif e[0] == "call" and e[1] in BARE and len(e[2]) == 1 and e[2][0][0] == "var":
                 self.add(e[2][0][1], "-")
             elif e[0] == "cmp" and e[2][0] == "var" and e[3][0] == "var":
@@ -437,7 +439,7 @@ class Translator:
             out.append(scope[n])
         if added:
             df = df.withColumns(added)
-        if p.distinct and frame.mult is None or p.distinct:
+        if p.distinct:
             keys = [c for b in out for c in (self.key_names(b))]
             df = df.dropDuplicates(keys) if keys else df.limit(1)
             frame = Frame(df, frame.scope, None)
@@ -447,9 +449,8 @@ class Translator:
             for e, down in p.order:
                 match = next((k for k, i in enumerate(items) if i.expr == e), None)
                 x = self.binding(out[match]) if match is not None else self.expr(e, visible)
-                if x.ty.name in ("NODE", "REL", "RECURSIVE_REL", "STRUCT", "MAP", "UNION"):
-                    if x.ty.name not in ("STRUCT",) and not (x.ty.name in ("NODE", "REL")):
-                        raise BinderError(f"Cannot order by a value of type {x.ty}.")
+                if x.ty.name in ("RECURSIVE_REL", "MAP", "UNION"):
+                    raise BinderError(f"Cannot order by a value of type {x.ty}.")
                 c = x.col["_id"] if x.ty.name in ("NODE", "REL") else x.col
                 keys.append(c.desc_nulls_first() if down else c.asc_nulls_last())
             df = df.orderBy(*keys)
@@ -560,7 +561,7 @@ class Translator:
                 c = c.cast("double") if not e.ty.integer or e.ty.name in ("INT128", "UINT64", "UINT128") else c
                 if m is not None and not distinct:
                     return (F.sum(c.cast("double") * m) / F.sum(F.when(c.isNotNull(), m)), DOUBLE)
-                return (F.avg_distinct(c) if distinct and hasattr(F, "avg_distinct") else F.expr("1") if False else (F.sum_distinct(c) / F.count_distinct(c) if distinct else F.avg(c)).cast("double"), DOUBLE)
+                return ((F.sum_distinct(c) / F.count_distinct(c) if distinct else F.avg(c)).cast("double"), DOUBLE)
             if m is not None and not distinct:
                 wide = wide * m
             total = F.sum_distinct(wide) if distinct else F.sum(wide)
@@ -577,9 +578,11 @@ class Translator:
         if not p.is_const:
             raise BinderError("percentileDisc needs a constant percentile.")
         rank = min(1.0, max(0.0, float(p.const)))
-        order = F.call_function("percentile_disc", c, F.lit(rank)) if False else None
-        del order
-        # index ceil(p * n) of the sorted values
+        if e.ty.numeric and not distinct and e.ty.name not in ("INT128", "UINT64", "UINT128", "DECIMAL"):
+            # the value at ceil(p * n), from counts of values that are merged before the shuffle
+            name = self.fresh("rank")
+            self.frame.df = self.frame.df.withColumn(name, c.cast("double") if e.ty.floating else c)
+            return (F.expr(f"percentile_disc({rank}) WITHIN GROUP (ORDER BY {name})").cast(spark_type(e.ty)), e.ty)
         values = F.sort_array(F.collect_set(c) if distinct else F.collect_list(c))
         return (F.get(values, F.greatest(F.ceil(F.lit(rank) * F.size(values)) - 1, F.lit(0)).cast("int")), e.ty)
 
@@ -849,8 +852,10 @@ class Translator:
         in_paths = {x for v, names in named if self.needs(v) - {"-"} for x in names}
         where_needs = self.needs
 
+        ended = {v for e in edges if "*ends" in self.needs(e["name"]) for v in (e["left"], e["right"])}
+
         def read(v: str) -> set[str]:
-            return where_needs(v) | ({"*"} if v in in_paths else set()) | {k.lower() for p in nodes.get(v, []) for k, _ in p.props}
+            return where_needs(v) | ({"*"} if v in ended else set()) | ({"*"} if v in in_paths else set()) | {k.lower() for p in nodes.get(v, []) for k, _ in p.props}
 
         messages: dict[str, list[DataFrame]] = {}
         pending = list(edges)
@@ -1320,7 +1325,6 @@ class Translator:
 
     def filtered(self, l_: E, name: str, body: tuple, scope: dict) -> E:
         f = self.apply(body, scope, name, l_.ty.args[0])
-        X.truth(f(F.lit(None).cast(spark_type(l_.ty.args[0])) if l_.ty.args[0].name not in ("NODE", "REL") else F.lit(None))) if l_.ty.args[0].name not in ("NODE", "REL") else None
         return E(F.filter(l_.col, lambda c: F.coalesce(X.truth(f(c)), F.lit(False))), list_of(l_.ty.args[0]))
 
     def transformed(self, l_: E, name: str, body: tuple, scope: dict) -> E:
