@@ -25,6 +25,7 @@ class NodeTable:
     next_off: int = 0
     comment: str = ""
     no_nan: bool = False
+    external: bool = False
 
     def column(self, name: str) -> str | None:
         return next((c for c in self.columns if c.lower() == name.lower()), None)
@@ -44,6 +45,7 @@ class RelTable:
     next_off: int = 0
     comment: str = ""
     no_nan: bool = False
+    external: bool = False
 
     column = NodeTable.column
 

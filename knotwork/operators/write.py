@@ -26,6 +26,11 @@ def numbered(tr, df: DataFrame) -> tuple[DataFrame, str, int]:
     return made, place, n
 
 
+def changeable(t) -> None:
+    if t.external:
+        raise RuntimeFault(f"Table {t.name} is external and can only be read.")
+
+
 def write_clause(tr, frame, c):
     if isinstance(c, A.Create):
         return create(tr, frame, c.paths)
@@ -76,12 +81,14 @@ def check_many(t: RelTable, df: DataFrame) -> None:
 
 
 def add_nodes(t: NodeTable, new: DataFrame) -> None:
+    changeable(t)
     new = materialize(new.select("_off", *[F.col(f"`{c}`") for c in t.columns]))
     check_keys(t, new)
     t.df = t.df.unionByName(new)
 
 
 def add_rels(t: RelTable, pair: tuple[str, str], new: DataFrame, n: int) -> None:
+    changeable(t)
     new = materialize(new.select("_src", "_dst", "_off", *[F.col(f"`{c}`") for c in t.columns]))
     t.pairs[pair] = t.pairs[pair].unionByName(new)
     t.next_off += n
@@ -268,6 +275,7 @@ def set_items(tr, frame, items):
         new = materialize(new)
         targets = [(t, None) for t in b.tables] if b.kind == "node" else b.tables
         for t, pair in targets:
+            changeable(t)
             tid = t.id if pair is None else t.ids[pair]
             mine = new.filter(F.col("_t") == tid)
             if b.kind == "node" and any(c.lower() == t.key.lower() for c in values):
@@ -315,10 +323,12 @@ def delete(tr, frame, c):
     for b in [x for x in bound if x.kind == "rel"]:
         gone = df.filter(b.off().isNotNull()).select(b.off().alias("_off"), b.tab().alias("_t")).distinct()
         for t, pair in b.tables:
+            changeable(t)
             t.pairs[pair] = materialize(t.pairs[pair].join(gone.filter(F.col("_t") == t.ids[pair]).select("_off"), "_off", "left_anti").select(t.pairs[pair].columns))
     for b in [x for x in bound if x.kind == "node"]:
         gone = materialize(df.filter(b.off().isNotNull()).select(b.off().alias("_off"), b.tab().alias("_t")).distinct())
         for t in b.tables:
+            changeable(t)
             mine = gone.filter(F.col("_t") == t.id).select("_off")
             for r in tr.catalog.rels.values():
                 for pair, rows in r.pairs.items():

@@ -20,6 +20,7 @@ from knotwork.operators.storage import numbered as number_rows
 from knotwork.plans import ast as A
 from knotwork.plans.parser import parse
 from knotwork.plans.translate import Translator, walk
+from knotwork.sources import external
 from knotwork.sources.files import read_files, write_file
 from knotwork.types import INTEGERS, Ty, engine_type, parse_type, spark_type
 
@@ -234,6 +235,10 @@ class Session:
         if columns[key].name not in KEY_TYPES:
             raise BinderError(f"Primary key {key} is of type {columns[key]} which is not allowed.")
         c = self.catalog
+        if p["storage"]:
+            df = external.nodes(self.spark, p["name"], columns, p["storage"])
+            c.nodes[p["name"]] = NodeTable(p["name"], c.new_id(), df, key, columns, external=True)
+            return
         c.nodes[p["name"]] = NodeTable(p["name"], c.new_id(), c.empty(self.spark, columns, False), key, columns, defaults)
         for col, t in columns.items():
             if t.name == "SERIAL":
@@ -264,6 +269,15 @@ class Session:
             if pair in pairs:
                 raise BinderError(f"Found duplicate FROM-TO {a}-{b} pairs.")
             pairs.append(pair)
+        if p["storage"]:
+            a, b = c.node(pairs[0][0]), c.node(pairs[0][1])
+            if len(pairs) > 1 or not (a.external and b.external):
+                raise BinderError("An external relationship table needs one pair of external node tables.")
+            df = external.relationships(self.spark, p["name"], columns, p["storage"], a.df.count())
+            c.rels[p["name"]] = RelTable(p["name"], {pairs[0]: c.new_id()}, {pairs[0]: df}, columns, {}, p["many"] or "MANY_MANY", external=True)
+            return
+        if any(c.node(x).external for pair in pairs for x in pair):
+            raise BinderError("Only an external relationship table can have external node tables.")
         query = None
         if p["query"] is not None:
             t = Translator(self, c, params)
@@ -360,6 +374,7 @@ class Session:
             raise (BinderError if p["what"] == "table" else CatalogError)(f"{p['what'].capitalize()} {name} does not exist.")
 
     def _each(self, t, f: Callable) -> None:
+        write.changeable(t)
         if isinstance(t, NodeTable):
             t.df = f(t.df)
         else:
@@ -476,6 +491,7 @@ class Session:
     def _copy(self, name: str, columns: list[str] | None, df: DataFrame, options: dict) -> None:
         """Rows of df by position into a table. Relationship rows begin with the keys of both ends."""
         t = self.catalog.table(name)
+        write.changeable(t)
         tr = Translator(self, self.catalog)
         lead = [] if isinstance(t, NodeTable) else ["_from", "_to"]
         names = [t.column(c) or c for c in columns] if columns else [c for c, ty in t.columns.items() if ty.name != "SERIAL" or len(df.columns) == len(t.columns)]

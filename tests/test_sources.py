@@ -81,3 +81,23 @@ def test_streaming(spark, s, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(s, "MATCH (p:P) RETURN count(*), min(p.id), max(p.id)") == [(4, 0, 3)]
+
+
+def test_external_tables(spark, s, tmp_path):
+    put = lambda name, cols: __import__("pyarrow.parquet").parquet.write_table(pa.table(cols), f"{tmp_path}/{name}.parquet")
+    put("nodes_p", {"id": pa.array([10, 20, 30], pa.int64()), "name": ["a", "b", "c"]})
+    put("indices_k", {"target": pa.array([1, 2, 2], pa.int64()), "w": pa.array([5, 6, 7], pa.int64())})
+    put("indptr_k", {"offset": pa.array([0, 2, 3, 3], pa.int64())})
+    put("flat", {"s": pa.array([2], pa.int64()), "t": pa.array([0], pa.int64())})
+    s.execute(f"CREATE NODE TABLE P(id INT64, name STRING, PRIMARY KEY(id)) WITH (storage='{tmp_path}', format='csr')")
+    s.execute(f"CREATE REL TABLE K(FROM P TO P, w INT64) WITH (storage='{tmp_path}', format='csr')")
+    s.execute(f"CREATE REL TABLE F(FROM P TO P) WITH (storage='{tmp_path}/flat.parquet', format='csr')")
+    assert rows(s, "MATCH (a:P)-[k:K]->(b:P) RETURN a.id, k.w, b.name ORDER BY k.w") == [(10, 5, "b"), (10, 6, "c"), (20, 7, "c")]
+    assert rows(s, "MATCH (a:P)-[:F]->(b:P) RETURN a.name, b.name") == [("c", "a")]
+    with pytest.raises(RuntimeFault):
+        s.execute("CREATE (:P {id: 1})")
+    with pytest.raises(RuntimeFault):
+        s.execute(f"CREATE NODE TABLE Q(id STRING, PRIMARY KEY(id)) WITH (storage='{tmp_path}', format='csr')")
+    put("indptr_k", {"offset": pa.array([0, 2, 1, 3], pa.int64())})
+    with pytest.raises(RuntimeFault):
+        s.execute(f"DROP TABLE K; CREATE REL TABLE K(FROM P TO P, w INT64) WITH (storage='{tmp_path}', format='csr')")
