@@ -357,6 +357,18 @@ def arithmetic(op: str, a: E, b: E) -> E:
     return E(made.cast(st) if t.name in ("INT128", *BOUNDS) else made, t, no_nan=a.no_nan and b.no_nan)
 
 
+def sort_key(c: Column, t: Ty) -> Column:
+    """A column that orders as the language does: inside lists and structs, NULL is greatest; intervals by their length."""
+    if t.listy and t.args[0].name not in ("NODE", "REL"):
+        return F.transform(c, lambda x: F.struct(x.isNull().alias("n"), sort_key(x, t.args[0]).alias("v")))
+    if t.name == "STRUCT":
+        parts = [p for f, a in zip(t.fields, t.args, strict=True) for p in (c[f].isNull(), sort_key(c[f], a))]
+        return F.when(c.isNotNull(), F.struct(*[p.alias(f"p{k}") for k, p in enumerate(parts)]))
+    if t.name == "INTERVAL":
+        return (c["months"].cast("decimal(38,0)") * 30 + c["days"]) * F.lit(86_400_000_000) + c["micros"]
+    return c
+
+
 def compare(op: str, a: E, b: E) -> E:
     """A comparison by the rules of the language: composites by their parts with NULL greatest, NaN less than anything."""
     x, y = a.ty, b.ty
@@ -372,9 +384,8 @@ def compare(op: str, a: E, b: E) -> E:
             raise BinderError(f"Type Mismatch: Cannot compare types {x} and {y}.")
     a, b = cast(a, t), cast(b, t)
     p, q = a.col, b.col
-    if t.name == "INTERVAL":
-        total = lambda c: (c["months"].cast("decimal(38,0)") * 30 + c["days"]) * F.lit(86_400_000_000) + c["micros"]
-        p, q = total(p), total(q)
+    if t.name == "INTERVAL" or op not in ("=", "<>"):
+        p, q = sort_key(p, t), sort_key(q, t)
     made = {"=": lambda: p == q, "<>": lambda: p != q, "<": lambda: p < q, "<=": lambda: p <= q, ">": lambda: p > q, ">=": lambda: p >= q}[op]()
     if t.floating:
         odd = [e.col for e in (a, b) if not e.no_nan and not (e.is_const and e.const == e.const)]

@@ -96,6 +96,14 @@ def add_rels(t: RelTable, pair: tuple[str, str], new: DataFrame, n: int) -> None
         check_many(t, t.pairs[pair])
 
 
+def as_data(t, labels: list[str], props: list) -> list:
+    """Properties of a node or relationship of a schemaless graph, as those of its hidden table."""
+    if t.name not in ("_nodes", "_edges") or labels[0] == t.name:
+        return props
+    label = ("list", [("lit", x) for x in labels]) if t.name == "_nodes" else ("lit", labels[0])
+    return [("label", label), ("data", ("cast", ("struct", props), "JSON") if props else ("lit", "{}"))]
+
+
 def create(tr, frame, paths):
     from knotwork.plans.translate import Node, Rel
 
@@ -119,11 +127,11 @@ def create(tr, frame, paths):
                 if scope[v].kind != "node":
                     raise BinderError(f"{v} is not a node.")
                 continue
-            if len(p.labels) != 1:
+            if len(p.labels) != 1 and "_nodes" not in tr.catalog.nodes:
                 raise BinderError(f"Create node {v} expects a single node label.")
             tables = tr.node_tables(p.labels)
             t = tables[0]
-            values = evaluate(t, p.props)
+            values = evaluate(t, as_data(t, p.labels, p.props))
             df = tr.frame.df
             node = Node(tr.fresh(v), [t], t.columns, False, True)
             node.loads = {c: f"{node.prefix}__p_{c}" for c in t.columns}
@@ -139,12 +147,12 @@ def create(tr, frame, paths):
                 a, b = b, a
             if len(p.types) != 1 or p.direction == "both":
                 raise BinderError("Create relationship expects a single label and a direction.")
-            t = tr.catalog.rel(p.types[0])
+            t = tr.catalog.rels["_edges"] if "_edges" in tr.catalog.rels else tr.catalog.rel(p.types[0])
             x, y = scope[a], scope[b]
             pairs = [q for q in t.pairs if any(s.name == q[0] for s in x.tables) and any(s.name == q[1] for s in y.tables)]
             if not pairs:
                 raise BinderError(f"Relationship {t.name} has no pair from {a} to {b}.")
-            values = evaluate(t, p.props)
+            values = evaluate(t, as_data(t, p.types, p.props))
             df = tr.frame.df
             v = p.var or f"_r{tr.fresh()}"
             rel = Rel(tr.fresh(v), [(t, q) for q in pairs], t.columns)

@@ -78,6 +78,8 @@ class Node:
 
     def prop(self, name: str) -> E:
         c = next((k for k in self.columns if k.lower() == name.lower()), None)
+        if c is None and "data" in self.loads and self.columns["data"].name == "JSON":  # of a schemaless graph
+            return E(F.get_json_object(F.col(self.loads["data"]), f"$.{name}"), Ty("JSON"))
         if c is None:
             raise BinderError(f"Cannot find property {name} for {self.prefix.split('_', 1)[-1]}.")
         if c not in self.loads:
@@ -451,7 +453,7 @@ class Translator:
                 x = self.binding(out[match]) if match is not None else self.expr(e, visible)
                 if x.ty.name in ("RECURSIVE_REL", "MAP", "UNION"):
                     raise BinderError(f"Cannot order by a value of type {x.ty}.")
-                c = x.col["_id"] if x.ty.name in ("NODE", "REL") else x.col
+                c = x.col["_id"] if x.ty.name in ("NODE", "REL") else X.sort_key(x.col, x.ty)
                 keys.append(c.desc_nulls_first() if down else c.asc_nulls_last())
             df = df.orderBy(*keys)
         skip, limit = self.amount(p.skip, "skip"), self.amount(p.limit, "limit")
@@ -701,10 +703,13 @@ class Translator:
         if not labels:
             return list(self.bound_tables.get(var) or self.catalog.nodes.values())
         out = []
+        free = self.catalog.nodes.get("_nodes")
         for x in labels:
             try:
                 t = self.catalog.node(x)
             except CatalogError:
+                if free is not None:
+                    return [free]  # a schemaless graph: labels are data
                 raise BinderError(f"Table {x} does not exist.") from None
             if t not in out:
                 out.append(t)
@@ -738,7 +743,9 @@ class Translator:
                 try:
                     tables.append(self.catalog.rel(x))
                 except CatalogError:
-                    raise BinderError(f"Table {x} does not exist.") from None
+                    if "_edges" not in self.catalog.rels:
+                        raise BinderError(f"Table {x} does not exist.") from None
+                    tables.append(self.catalog.rels["_edges"])
         else:
             tables = list(self.catalog.rels.values())
         return [(t, pair) for t in dict.fromkeys(map(id, tables)) for t in [next(x for x in tables if id(x) == t)] for pair in t.pairs]
@@ -854,6 +861,9 @@ class Translator:
 
         ended = {v for e in edges if "*ends" in self.needs(e["name"]) for v in (e["left"], e["right"])}
 
+        if "_nodes" in self.catalog.nodes:  # labels and properties of a schemaless graph are data
+            ended |= {*nodes, *(e["name"] for e in edges)}
+
         def read(v: str) -> set[str]:
             return where_needs(v) | ({"*"} if v in ended else set()) | ({"*"} if v in in_paths else set()) | {k.lower() for p in nodes.get(v, []) for k, _ in p.props}
 
@@ -910,6 +920,10 @@ class Translator:
                 weigh_by(w)
 
         def inline(v: str) -> None:
+            free = [x for p in nodes.get(v, []) for x in p.labels if x != "_nodes"] if any(t.name == "_nodes" for t in tables[v]) else []
+            if free:
+                labels = F.col(state["scope"][v].loads["label"])
+                state["df"] = state["df"].filter(reduce(lambda x, y: x | y, [F.array_contains(labels, x) for x in free]))
             for p in nodes.get(v, []):
                 for k, x in p.props:
                     state["df"] = state["df"].filter(X.compare("=", state["scope"][v].prop(k), self.expr(x, state["scope"])).col)
@@ -970,6 +984,9 @@ class Translator:
     folded: set[str] = set()
 
     def rel_inline(self, state: dict, e: dict) -> None:
+        free = [x for x in e["rel"].types if x != "_edges"]
+        if free and "_edges" in self.catalog.rels and not e["rel"].hops:
+            state["df"] = state["df"].filter(F.col(state["scope"][e["name"]].loads["label"]).isin(free))
         if e["rel"].props and not e["rel"].hops:
             for k, x in e["rel"].props:
                 state["df"] = state["df"].filter(X.compare("=", state["scope"][e["name"]].prop(k), self.expr(x, state["scope"])).col)

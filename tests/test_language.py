@@ -31,6 +31,7 @@ CASES = [
     ("CASE 1 WHEN 1 THEN 5 WHEN 2 THEN 9.9 END, CASE NULL WHEN NULL THEN 'n' ELSE 'm' END, CASE WHEN false THEN 1 END, 1 = 1.0, true XOR true, 3 IS NULL", (5.0, "n", None, True, False, False)),
     ("5!, 1 << 3, 6 & 3, 6 | 1, 10 - 2 - 3, 2 + 3 * 4, NOT true OR true, -(-3)", (120, 8, 2, 7, 5, 14, True, 3)),
     ("array_distance([1.0,2.0],[4.0,6.0]), array_cross_product([1.0,0.0,0.0],[0.0,1.0,0.0]), hash(NULL)", (5.0, [0.0, 0.0, 1.0], decimal.Decimal(2**64 - 1))),
+    ("[3,4] > [3,NULL], [3,4] < [3,NULL], [1,2] < [1,3], interval('2 days') < interval('1 month')", (False, True, True, True)),
     ("sum(1), count(*), avg(2), min('a'), collect(1)", (decimal.Decimal(1), 1, 2.0, "a", [1])),
     ("union_extract(cast('7', 'UNION(n INT64, s STRING)'), 's'), union_tag(cast('-5', 'UNION(u UINT8, i INT64)'))", ("7", "i")),
 ]

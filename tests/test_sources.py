@@ -68,8 +68,11 @@ def test_parquet_npy_arrow_and_export(s, tmp_path):
 
 def test_any_graph(s):
     s.execute("CREATE GRAPH free ANY; USE GRAPH free")
-    s.execute("""CREATE (:_nodes {label: ['A'], data: CAST('{"x": 5}' AS JSON)})""")
-    assert rows(s, "MATCH (n:_nodes) WHERE 'A' IN n.label RETURN n.data.x") == [("5",)]
+    s.execute("CREATE (:A {x: 5, n: 'q'})-[:R {w: 3}]->(:B {x: 7}); CREATE (:A {x: 9})")
+    assert rows(s, "MATCH (n:A) RETURN n.x AS x, n.label ORDER BY x") == [("5", ["A"]), ("9", ["A"])]
+    assert rows(s, "MATCH (a:A)-[e:R]->(b:B) RETURN a.x, e.w, b.x") == [("5", "3", "7")]
+    assert rows(s, "MATCH (a:A)-[e:S]->(b:B) RETURN count(*)") == [(0,)]
+    assert rows(s, "MATCH (n:A:B) RETURN count(*)") == [(3,)]
 
 
 def test_streaming(spark, s, tmp_path):
