@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import materialize, quoted
+from knotwork.llm.common import bounded_batches, materialize, quoted
 
 ROLES = ("system", "user", "assistant")
 CHUNK = 4096
@@ -195,6 +195,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
 def recover(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, turn, segment, role (recovered), given (the role in the table, null if there is none) and rendered."""
     spark = turns.sparkSession
+    bounded_batches(spark)
     rows = ordered(turns, conv_id, turn, role, text)
     shared = spark.sparkContext.broadcast(fit(rows))  # some dozen numbers
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
 
 
+ROWS_PER_BATCH = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a local one of our own only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -59,6 +62,7 @@ def map_columns(df: DataFrame, source: str, keep: list[str], added: dict[str, st
 
     work() runs once in each task and returns the function that takes a list of values and returns a tuple per value.
     Rows are handed over in small slices, so that long texts don't pile up in the worker."""
+    bounded_batches(df.sparkSession)
     names = [c for c in keep if c.lower() not in {a.lower() for a in added}]
     hidden = fresh(df, "_in")
     got = df.select(*[df[quoted(c)] for c in names], df[quoted(source)].alias(hidden))
@@ -79,6 +83,13 @@ def map_columns(df: DataFrame, source: str, keep: list[str], added: dict[str, st
     return got.mapInArrow(run, schema)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of ROWS_PER_BATCH rows at most in this session: 10,000 long texts at once are too much for a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
+
+
 def packed(docs: DataFrame, *needed: str) -> tuple[DataFrame, str]:
     """docs as one struct column beside the needed ones, so that no column of docs can clash with an added one; and its name."""
     name = "_row"

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import materialize, quoted
+from knotwork.llm.common import bounded_batches, materialize, quoted
 from knotwork.llm.shingles import mixed, power_tables
 from knotwork.llm.suffix_arrays import common_prefixes, suffix_array
 
@@ -341,6 +341,7 @@ def _hot_ranges(hot: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 for each row."""
+    bounded_batches(docs.sparkSession)
     t = F.coalesce(docs[quoted(text)], F.lit(""))
     keyed = docs.select(docs[quoted(doc_id)].alias("doc_id"), t.alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64("text", F.lit(1))})
     narrow = materialize(keyed.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
