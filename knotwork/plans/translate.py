@@ -171,6 +171,10 @@ class Frame:
     mult: str | None = None  # a column with how many rows each row stands for
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def walk(e: Any):
     """All expression tuples below e."""
     if isinstance(e, tuple):
@@ -723,15 +727,22 @@ class Translator:
 
     def scan(self, prefix: str, tables: list[NodeTable], columns: dict[str, Ty], props: list[str], many: bool) -> DataFrame:
         parts = []
-        for t in tables:
-            cols = [F.col("_off").alias(f"{prefix}__off")]
+        for t in tables:  # as text: a column at a time is a call to the JVM for each step
+            cols = [f"_off AS `{prefix}__off`"]
             if many:
-                cols.append(F.lit(t.id).alias(f"{prefix}__tab"))
+                cols.append(f"{t.id} AS `{prefix}__tab`")
+            later = {}
             for c in props:
-                own = t.column(c)
-                e = E(F.col(f"`{own}`"), t.columns[own]) if own else lit(None)
-                cols.append(cast(e, columns[c]).col.cast(spark_type(columns[c])).alias(f"{prefix}__p_{c}") if not own or t.columns[own] != columns[c] else e.col.alias(f"{prefix}__p_{c}"))
-            parts.append(t.df.select(*cols))
+                own, name = t.column(c), f"{prefix}__p_{c}"
+                if own and t.columns[own] == columns[c]:
+                    cols.append(f"{quoted(own)} AS {quoted(name)}")
+                elif own:
+                    cols.append(f"{quoted(own)} AS {quoted(name)}")
+                    later[name] = cast(E(F.col(quoted(name)), t.columns[own]), columns[c]).col.cast(spark_type(columns[c]))
+                else:
+                    cols.append(f"CAST(NULL AS {spark_type(columns[c]).simpleString()}) AS {quoted(name)}")
+            part = t.df.selectExpr(*cols)
+            parts.append(part.withColumns(later) if later else part)
         if not parts:
             raise BinderError("No node table exists in database.")
         return reduce(lambda a, b: a.unionByName(b), parts)
@@ -767,14 +778,20 @@ class Translator:
         for t, (x, y), forward in steps:
             xi, yi = self.catalog.node(x).id, self.catalog.node(y).id
             a, b, ai, bi = ("_src", "_dst", xi, yi) if forward else ("_dst", "_src", yi, xi)
-            cols = [F.col(a).alias(f"{prefix}__a"), F.lit(ai).alias(f"{prefix}__at"), F.col(b).alias(f"{prefix}__b"), F.lit(bi).alias(f"{prefix}__bt")]
+            cols = [f"{a} AS `{prefix}__a`", f"{ai} AS `{prefix}__at`", f"{b} AS `{prefix}__b`", f"{bi} AS `{prefix}__bt`"]
             if whole:
-                cols += [F.col("_off").alias(f"{prefix}__off"), F.lit(t.ids[x, y]).alias(f"{prefix}__tab"), F.col("_src").alias(f"{prefix}__src"), F.col("_dst").alias(f"{prefix}__dst"), F.lit(xi).alias(f"{prefix}__stab"), F.lit(yi).alias(f"{prefix}__dtab")]
+                cols += [f"_off AS `{prefix}__off`", f"{t.ids[x, y]} AS `{prefix}__tab`", f"_src AS `{prefix}__src`", f"_dst AS `{prefix}__dst`", f"{xi} AS `{prefix}__stab`", f"{yi} AS `{prefix}__dtab`"]
+            later = {}
             for c in props:
-                own = t.column(c)
-                e = E(F.col(f"`{own}`"), t.columns[own]) if own else lit(None)
-                cols.append((e.col if own and t.columns[own] == columns[c] else cast(e, columns[c]).col.cast(spark_type(columns[c]))).alias(f"{prefix}__p_{c}"))
-            parts.append(t.pairs[x, y].select(*cols))
+                own, name = t.column(c), f"{prefix}__p_{c}"
+                if own:
+                    cols.append(f"{quoted(own)} AS {quoted(name)}")
+                    if t.columns[own] != columns[c]:
+                        later[name] = cast(E(F.col(quoted(name)), t.columns[own]), columns[c]).col.cast(spark_type(columns[c]))
+                else:
+                    cols.append(f"CAST(NULL AS {spark_type(columns[c]).simpleString()}) AS {quoted(name)}")
+            part = t.pairs[x, y].selectExpr(*cols)
+            parts.append(part.withColumns(later) if later else part)
         if not parts:
             empty = self.spark.range(0).select(*[F.lit(None).cast("bigint").alias(f"{prefix}__{x}") for x in ("a", "at", "b", "bt", *(("off", "tab", "src", "dst", "stab", "dtab") if whole else ()))], *[F.lit(None).cast(spark_type(columns[c])).alias(f"{prefix}__p_{c}") for c in props])
             return empty
