@@ -91,6 +91,7 @@ class Session:
         self.warnings: list[tuple] = []
         self.seed: int | None = None
         self.saved: tuple[dict[str, Catalog], bool] | None = None
+        self.jobs = f"knotwork-{id(self)}"
 
     @property
     def catalog(self) -> Catalog:
@@ -99,8 +100,13 @@ class Session:
     # -- API
     def execute(self, text: str, **params: Any) -> DataFrame:
         """Run statements; the result of the last."""
+        self.spark.sparkContext.setJobGroup(self.jobs, text[:200], interruptOnCancel=True)
         return self.run(parse(text), params)
 
+    def interrupt(self) -> None:
+        """Cancel the session's running jobs, from another thread; a statement that was writing leaves the graphs as they were."""
+        self.spark.sparkContext.cancelJobGroup(self.jobs)
+
     def prepare(self, text: str) -> Prepared:
         return Prepared(self, text)
 

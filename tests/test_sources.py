@@ -104,3 +104,26 @@ def test_external_tables(spark, s, tmp_path):
     put("indptr_k", {"offset": pa.array([0, 2, 1, 3], pa.int64())})
     with pytest.raises(RuntimeFault):
         s.execute(f"DROP TABLE K; CREATE REL TABLE K(FROM P TO P, w INT64) WITH (storage='{tmp_path}', format='csr')")
+
+
+def test_rendering(s):
+    from knotwork.sources.render import render
+
+    s.execute("CREATE NODE TABLE P(id INT64, d DOUBLE, PRIMARY KEY(id)); CREATE REL TABLE K(FROM P TO P); CREATE (:P {id: 1, d: 0.5})-[:K]->(:P {id: 2})")
+    df = s.execute("MATCH (a:P)-[k:K]->(b:P) RETURN a, k, b.d AS d, true AS t, [1, NULL] AS l, map(['x'], [1]) AS m, {q: 'z'} AS s")
+    assert render(df, "tsv").splitlines()[1] == "{_ID: 0:1, _LABEL: P, id: 1, d: 0.500000}\t(0:1)-{_ID: 1:0, _LABEL: K}->(0:2)\t\tTrue\t[1,]\t{x=1}\t{q: z}"
+    assert render(s.execute("RETURN 1 AS a, 'x' AS b"), "markdown") == "| a | b |\n|---|---|\n| 1 | x |"
+    assert render(s.execute("RETURN 1 AS a"), "json") == '[{"a": 1}]'
+    assert render(s.execute("RETURN 1 AS a"), "line") == "a = 1"
+
+
+def test_interrupt(s):
+    import threading
+    import time
+
+    s.register_function("slow", lambda x: time.sleep(0.2) or x, ["INT64"], "INT64")
+    threading.Timer(3, s.interrupt).start()
+    began = time.time()
+    with pytest.raises(Exception):  # noqa: B017
+        s.execute("UNWIND range(1, 2000) AS x RETURN sum(slow(x))").collect()
+    assert time.time() - began < 60
