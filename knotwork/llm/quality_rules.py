@@ -5,9 +5,14 @@ g = (1 + e) / (1 - e), so any quantile is known within a relative error e. Two s
 order and with the same result, which makes reruns agree, lets every task pre-aggregate before the shuffle, and keeps
 the rows of a group bounded by the number of buckets, however many documents it has.
 
+A threshold is a fence over the values of a group's documents that pass the base rules: q75 + FENCE * (q75 - q25). No
+fixed cutoff takes part but GUARD, a least width for groups without spread. Most documents repeat nothing, and those that
+do are ordinary; so the repeat metrics (AMONG_REPEATS) have their fences over the documents that have any repeat.
+
 Defined results: a null text has no words; a document without words fails the base rule n_words < 50. Null languages
-and sources form groups of their own. A group under MIN_GROUP documents takes the thresholds of its language, and a
-language under MIN_GROUP those of all documents. Rows aren't merged: a repeated row is counted and judged like any other.
+and sources form groups of their own. A metric with under MIN_GROUP values in a group takes the threshold of the language,
+and one with under MIN_GROUP values in the language that of all documents; a repeat metric with under MIN_GROUP values
+even there has no threshold (null), for a few documents with repeats don't tell what is ordinary. Rows aren't merged: a repeated row is counted and judged like any other.
 An empty table gives an empty result. Input columns that have the name of an added one are replaced by it.
 """
 
@@ -24,12 +29,14 @@ from knotwork.llm.common import broadcast_up_to, fresh, map_columns, materialize
 
 #: Relative error of the sketches.
 ERROR = 0.01
-#: Documents that a group needs to have thresholds of its own.
+#: Values of a metric that a group needs to have a threshold of its own.
 MIN_GROUP = 100
 #: A value is an outlier above q75 + FENCE * (q75 - q25) ...
 FENCE = 4.0
-#: ... but never below these floors, under which no document is rejected, however uniform its group.
-FLOORS = {"symbol_ratio": 0.1, "repeat_ratio": 0.3, "dup_line_ratio": 0.7, "mean_word": 15.0, "upper_ratio": 0.3, "bang_ratio": 0.2}
+#: ... and at least GUARD, and twice the sketch's error, above q75, for groups whose values are all alike.
+GUARD = 0.02
+METRICS = ["symbol_ratio", "repeat_ratio", "dup_line_ratio", "mean_word", "upper_ratio", "bang_ratio"]
+AMONG_REPEATS = ["repeat_ratio", "dup_line_ratio"]
 COUNTS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "n_lines": "long", "n_upper": "long", "n_letters": "long", "n_bangs": "long"}
 #: More groups than this aren't broadcast.
 BROADCAST_GROUPS = 50_000
@@ -96,14 +103,20 @@ def _metrics() -> dict:
     }
 
 
-def sketch(counted: DataFrame, lang: str, source: str) -> DataFrame:
-    """Sketch rows (lang, source, metric, bucket, n); those of parts of the input merge by adding n."""
+def _base_failed():
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def sketch(counted: DataFrame, lang: str, source: str, where=None) -> DataFrame:
+    """Sketch rows (lang, source, metric, bucket, n); those of parts of the input merge by adding n.
+
+    where: the rows that n counts; groups without any stay, with n = 0."""
     bucket = lambda c: F.when(c > 0, F.ceil(F.log(c) / math.log((1 + ERROR) / (1 - ERROR))).cast("int"))
     each = F.array(*[F.struct(F.lit(k).alias("metric"), bucket(c).alias("bucket")) for k, c in _metrics().items()])
     return (
-        counted.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.inline(each))
+        counted.select(F.col(lang).alias("lang"), F.col(source).alias("source"), (F.lit(True) if where is None else where).alias("counts"), F.inline(each))
         .groupBy("lang", "source", "metric", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count_if("counts").alias("n"))
     )
 
 
@@ -122,19 +135,23 @@ def quantiles(sketches: DataFrame, keys: list[str], ranks: dict[str, float]) ->
 
 def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """One row for each (lang, source): t_<metric>, above which a document is rejected."""
-    sketches = materialize(sketch(counted, lang, source))
-    floor = F.create_map(*[x for k, v in FLOORS.items() for x in (F.lit(k), F.lit(v))])
+    sketches = materialize(sketch(counted, lang, source, ~_base_failed()))
+    idle = F.col("metric").isin(AMONG_REPEATS) & F.col("bucket").isNull()
+    sketches = sketches.withColumn("n", F.when(idle, 0).otherwise(F.col("n")))
 
-    def fences(keys: list[str], n: str) -> DataFrame:
+    def fences(keys: list[str], p: str) -> DataFrame:
+        """For each metric, p_n_<metric> and p_<metric>: the number of values and the fence."""
         q = quantiles(sketches, keys, {"q25": 0.25, "q75": 0.75})
-        fence = F.greatest(floor[F.col("metric")], F.col("q75") + FENCE * (F.col("q75") - F.col("q25")))
-        wide = q.groupBy(*keys).agg(F.max("n_group").alias(n), *[F.max(F.when(F.col("metric") == k, fence)).alias(f"{n}_{k}") for k in FLOORS])
-        return wide
+        width = F.greatest(FENCE * (F.col("q75") - F.col("q25")), GUARD + 2 * ERROR * F.col("q75"))
+        of = lambda k, c: F.max(F.when(F.col("metric") == k, c))
+        return q.groupBy(*keys).agg(*[of(k, F.col("n_group")).alias(f"{p}_n_{k}") for k in METRICS], *[of(k, F.col("q75") + width).alias(f"{p}_{k}") for k in METRICS])
 
     own, by_lang, every = fences(["lang", "source"], "a"), fences(["lang"], "b"), fences([], "c")
     by_lang = by_lang.withColumnRenamed("lang", "lang_b")
     table = own.join(by_lang, F.col("lang").eqNullSafe(F.col("lang_b")), "left").crossJoin(F.broadcast(every))  # every: one row
-    chosen = [F.when(F.col("a") >= MIN_GROUP, F.col(f"a_{k}")).when(F.col("b") >= MIN_GROUP, F.col(f"b_{k}")).otherwise(F.col(f"c_{k}")).alias(f"t_{k}") for k in FLOORS]
+    enough = lambda p, k: F.col(f"{p}_n_{k}") >= MIN_GROUP
+    last = lambda k: F.when(enough("c", k), F.col(f"c_{k}")) if k in AMONG_REPEATS else F.col(f"c_{k}")
+    chosen = [F.when(enough("a", k), F.col(f"a_{k}")).when(enough("b", k), F.col(f"b_{k}")).otherwise(last(k)).alias(f"t_{k}") for k in METRICS]
     return table.select("lang", "source", *chosen)
 
 
@@ -155,9 +172,8 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
         limits = thresholds(with_counts(docs, text, keys), *keys)
     limits = broadcast_up_to(materialize(limits), BROADCAST_GROUPS).withColumnsRenamed({"lang": "_t_lang", "source": "_t_source"})
     joined = counted.join(limits, F.col(keys[0]).eqNullSafe(F.col("_t_lang")) & F.col(keys[1]).eqNullSafe(F.col("_t_source")), "left")
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = joined.withColumns(_metrics()).withColumn("base_failed", base)
-    reasons = F.array_compact(F.array(*[F.when(F.col(k) > F.col(f"t_{k}"), F.lit(k)) for k in FLOORS]))
+    out = joined.withColumns(_metrics()).withColumn("base_failed", _base_failed())
+    reasons = F.array_compact(F.array(*[F.when(F.col(k) > F.col(f"t_{k}"), F.lit(k)) for k in METRICS]))
     return out.withColumn("reasons", reasons).withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0)).drop(*keys, "_t_lang", "_t_source")
 
 

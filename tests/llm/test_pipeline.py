@@ -127,6 +127,27 @@ def test_sketch_quantiles_are_within_the_error(spark):
     assert abs(merged["q"] / (100 / 61) - 1) <= 2 * quality_rules.ERROR
 
 
+def test_groups_decide_their_thresholds(spark):
+    """The same values are outliers in one source and ordinary in another."""
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    say = lambda n, sizes, tail="": " ".join(word(r.choice(sizes)) + (tail if r.random() < 0.5 else "") for _ in range(n))
+    rows = [(k, say(80, [4, 5, 6]), "en", "prose", 1) for k in range(150)]
+    rows += [(k, say(80, [8, 9, 10], "|" * r.randint(0, 2)), "en", "code", 1) for k in range(200, 350)]
+    rows += [(k, say(80, [9]), "en", source, 1) for k, source in ((900, "prose"), (901, "code"))]
+    table = " ".join(["|", "|", "|", "|", *say(76, [5]).split()])  # 0.05 symbols a word
+    rows += [(902, table, "en", "prose", 1), (903, table, "en", "code", 1)]
+    again = say(6, [5])
+    some = [(k, f"{say(74, [4, 5, 6])} {again[:17]} {again[:17]}", "en", "prose", 1) for k in range(400, 520)]
+    some.append((904, f"{say(64, [4, 5, 6])} {again} {say(4, [5])} {again}", "en", "prose", 1))
+    got = {x["doc_id"]: x for x in quality_rules.quality_rules(spark.createDataFrame(rows + some, SCHEMA), keep=["doc_id"]).collect()}
+    assert not any(x["base_failed"] for x in got.values())
+    for k in ("symbol_ratio", "mean_word"):
+        assert got[0][f"t_{k}"] < got[200][f"t_{k}"]
+    reasons = {i: x["reasons"] for i, x in got.items() if x["reasons"]}
+    assert reasons == {900: ["mean_word"], 902: ["symbol_ratio"], 904: ["repeat_ratio"]}
+
+
 def test_secrets(spark, odd):
     model = secrets.train(odd)
     extra = spark.createDataFrame([(7777, 'key zX9+kQ2/vB7mN4pL8sD1wF6hJ3 and ghp_A8fK2mQ9zX4vB7nL1pR6tY3w"', None, None, None)], SCHEMA)
