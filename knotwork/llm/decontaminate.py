@@ -99,7 +99,7 @@ class Matcher:
             return []
         t = f" {folded(text)} "
         best: dict[int, int] = {}
-        tried: dict[int, int] = {}
+        tried: dict[int, tuple[int, int]] = {}
         for end, (length, places) in self.automaton.iter(t):
             start = end + 1 - length
             for at, offset in places:
@@ -114,10 +114,13 @@ class Matcher:
                 if from_ >= 0 and t.startswith(pattern, from_):
                     best[at] = 0
                     continue
-                if tried.get(at, -1) >= from_ + len(pattern) + k:  # this stretch was verified with a hit just before
+                # from_ may fall from hit to hit: only a stretch that holds all of this alignment was verified for it
+                least, most = max(0, from_ - k), from_ + len(pattern) + k
+                low, high = tried.get(at, (0, -1))
+                if low <= least and most <= high:
                     continue
-                low, high = max(0, from_ - k), from_ + len(pattern) + 2 * k
-                tried[at] = high
+                low, high = least, most + k
+                tried[at] = low, high
                 d = least_distance(bits, len(pattern), t[low:high], k)
                 if d <= k:
                     best[at] = min(best.get(at, k + 1), d)

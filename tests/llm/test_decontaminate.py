@@ -78,6 +78,30 @@ def test_brute_force(spark, shard):
     assert {r["items"] for r in kept.collect()} == {"x"}
 
 
+def test_repeated_phrases():
+    """Pieces that also occur elsewhere in the item are hit misaligned before the aligned piece."""
+    r = random.Random(5)
+    found = 0
+    for case in range(2000):
+        words = ["go", "left", "now", "turn", "back", "up"][: r.randint(2, 6)]
+        phrase = " ".join(r.choice(words) for _ in range(r.randint(2, 4)))
+        item = d.folded(f"{phrase} {' '.join(r.choice(words) for _ in range(r.randint(0, 5)))} {phrase} {phrase if r.random() < 0.3 else ''}")
+        t = list(item)
+        for _ in range(r.randint(0, d.edits(len(item)) + 1)):
+            k, op = r.randrange(len(t)), r.random()
+            if op < 0.4:
+                t[k] = r.choice("xyz")
+            elif op < 0.7:
+                t.insert(k, r.choice("xyz"))
+            else:
+                del t[k]
+        text = f"{' '.join(r.choice(words) for _ in range(r.randint(0, 6)))} {''.join(t)} {' '.join(r.choice(words) for _ in range(r.randint(0, 6)))}"
+        got = d.Matcher([(1, item)]).search(text)
+        assert got == brute([(1, item)], text), (case, item, text)
+        found += bool(got)
+    assert found > 1000
+
+
 def test_empty_tables(spark):
     table = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
