@@ -114,6 +114,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "date_trunc": ("MATCH (e:Event) RETURN date_trunc('month', e.ts) AS m, date_trunc('decade', e.ts) AS d, count(*) AS n", "SELECT date_trunc('month',ts)::TIMESTAMP AS m, date_trunc('decade',ts)::TIMESTAMP AS d, count(*) AS n FROM events GROUP BY 1,2"),
     "interval_add": ("MATCH (o:Orders) RETURN o.o_orderkey AS k, o.o_orderdate + interval('1 month 2 days') AS a, o.o_orderdate - to_days(30) AS b, CAST(o.o_orderdate AS DATE) + 10 AS c, CAST(o.o_orderdate AS DATE) + to_months(1) AS d", "SELECT o_orderkey AS k, o_orderdate + INTERVAL '1 month' + INTERVAL '2 days' AS a, o_orderdate - INTERVAL '30 days' AS b, o_orderdate::DATE + 10 AS c, (o_orderdate::DATE + INTERVAL '1 month')::DATE AS d FROM orders"),
     "list_lambda": ("MATCH (d:Document) WITH d.doc_id AS k, string_split(left(d.text, 80), ' ') AS w RETURN k, list_transform(w, x -> size(x)) AS z, list_filter(w, x -> size(x) > 4) AS f, list_reduce(list_transform(w, x -> size(x)), (a, b) -> a + b) AS t", "SELECT k, list_transform(w, lambda x: length(x)) AS z, list_filter(w, lambda x: length(x)>4) AS f, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS t FROM (SELECT doc_id AS k, CASE WHEN len(p)=0 THEN p ELSE list_concat(list_filter(p[:-2], lambda x: x<>''), p[-1:]) END AS w FROM (SELECT doc_id, string_split(left(text,80),' ') AS p FROM documents))"),
+    "list_lambda_whole": ("MATCH (d:Document) WITH d.doc_id AS k, string_split(d.text, ' ') AS w RETURN k, list_transform(w, x -> size(x)) AS z, list_filter(w, x -> size(x) > 4) AS f, list_reduce(list_transform(w, x -> size(x)), (a, b) -> a + b) AS t", "SELECT k, list_transform(w, lambda x: length(x)) AS z, list_filter(w, lambda x: length(x)>4) AS f, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS t FROM (SELECT doc_id AS k, CASE WHEN len(p)=0 THEN p ELSE list_concat(list_filter(p[:-2], lambda x: x<>''), p[-1:]) END AS w FROM (SELECT doc_id, string_split(text,' ') AS p FROM documents))"),
     "list_comprehension": ("MATCH (p:Part) RETURN p.p_partkey AS k, [x IN range(1, 5) WHERE x > 2 | x * p.p_size] AS l, [x IN [1, 2, 3]] AS m", "SELECT p_partkey AS k, [(3*p_size)::BIGINT,(4*p_size)::BIGINT,(5*p_size)::BIGINT] AS l, [1::BIGINT,2,3] AS m FROM part"),
     "list_quantifiers": ("MATCH (p:Part) WITH p.p_partkey AS k, [p.p_size, 10, NULL] AS l RETURN k, any(x IN l WHERE x > 20) AS a, all(x IN l WHERE x > 5) AS b, none(x IN l WHERE x > 40) AS c, single(x IN l WHERE x = 10) AS d", "SELECT p_partkey AS k, p_size>20 AS a, false AS b, NOT p_size>40 AS c, p_size<>10 AS d FROM part"),
     "list_sort_slice": ("MATCH (p:Part) WITH p.p_partkey AS k, [p.p_size, 30, 10, 20] AS l RETURN k, list_sort(l) AS s, list_reverse_sort(l) AS r, l[2:3] AS m, l[-1] AS z, list_contains(l, 30) AS c, list_position(l, 20) AS p, list_distinct(l + [30]) AS u, list_sum(l) AS t", "SELECT k, list_sort(l) AS s, list_reverse_sort(l) AS r, l[2:3] AS m, l[-1] AS z, true AS c, list_position(l,20::BIGINT)::BIGINT AS p, CASE WHEN l[1] IN (30,10,20) THEN list_filter([l[1],30,10,20], lambda x, i: i=1 OR x<>l[1]) ELSE l END AS u, list_sum(l)::BIGINT AS t FROM (SELECT p_partkey AS k, [p_size::BIGINT,30,10,20] AS l FROM part)"),
