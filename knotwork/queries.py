@@ -121,6 +121,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "struct_map": ("MATCH (p:Part) WITH p.p_partkey AS k, {size: p.p_size, brand: p.p_brand} AS s, map(['a', 'b', 'a'], [1, p.p_size, 3]) AS m RETURN k, s.size AS z, struct_extract(s, 'brand') AS b, map_extract(m, 'a') AS a, element_at(m, 'x') AS e, map_keys(m) AS ks, size(m) AS n", "SELECT p_partkey AS k, p_size AS z, p_brand AS b, [1::BIGINT,3] AS a, []::BIGINT[] AS e, ['a','b','a'] AS ks, 3::BIGINT AS n FROM part"),
     "union_value": ("MATCH (p:Part) WITH p.p_partkey AS k, union_value(num := p.p_size) AS u RETURN k, union_tag(u) AS t, union_extract(u, 'num') AS v", "SELECT p_partkey AS k, 'num' AS t, p_size AS v FROM part"),
     "vector_similarity": ("MATCH (a:Vector), (b:Vector) WHERE a.vec_id = 0 AND b.vec_id > 0 RETURN b.vec_id AS k, array_cosine_similarity(a.embedding, b.embedding) > 0.1 AS near, array_distance(a.embedding, b.embedding) < 1.3 AS close, array_dot_product(a.embedding, b.embedding) < 0.0 AS away", "SELECT b.vec_id AS k, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.1 AS near, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 1.3 AS close, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 0 AS away FROM embeddings a, embeddings b WHERE a.vec_id=0 AND b.vec_id>0"),
+    "vector_similarity_all": ("MATCH (a:Vector), (b:Vector) WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id RETURN a.vec_id AS k, count(*) AS n, sum(CASE WHEN array_cosine_similarity(a.embedding, b.embedding) > 0.1 THEN 1 ELSE 0 END) AS near, sum(CASE WHEN array_distance(a.embedding, b.embedding) < 1.3 THEN 1 ELSE 0 END) AS close, sum(CASE WHEN array_dot_product(a.embedding, b.embedding) < 0.0 THEN 1 ELSE 0 END) AS away", "SELECT a.vec_id AS k, count(*) AS n, sum((list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.1)::INT)::BIGINT AS near, sum((list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 1.3)::INT)::BIGINT AS close, sum((list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 0)::INT)::BIGINT AS away FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id GROUP BY 1"),
     "json_props": ("MATCH (e:Event) WITH e.event_id AS k, CAST(e.props AS JSON) AS j RETURN k, CAST(CAST(j.k AS STRING) AS INT64) AS v, j.nothing IS NULL AS x", "SELECT event_id AS k, json_extract_string(props, '$.k')::BIGINT AS v, true AS x FROM events"),
     "hash_functions": ("MATCH (c:Customer) RETURN c.c_custkey AS k, md5(c.c_name) AS m, sha256(c.c_name) AS s", "SELECT c_custkey AS k, md5(c_name) AS m, sha256(c_name) AS s FROM customer"),
     # recursive paths
@@ -132,7 +133,9 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "var_lambda_filter": ("MATCH (a:Turn)-[e:REPLIES*1..3 (r, n | WHERE n.role = 'user')]->(b:Turn) RETURN length(e) AS l, count(*) AS n", f"WITH RECURSIVE {_REPLIES}, t AS (SELECT conv_id*1000000+turn AS id, role FROM conversations), w AS (SELECT s, d, 1 AS l FROM replies UNION ALL SELECT w.s, r.d, l+1 FROM w JOIN t ON t.id=w.d AND role='user' JOIN replies r ON r.s=w.d WHERE l<3) SELECT l::BIGINT AS l, count(*) AS n FROM w GROUP BY 1"),
     "shortest": ("MATCH (a:Turn {turn: 0})-[e:REPLIES* SHORTEST 1..10]->(b:Turn) RETURN a.conv_id AS c, max(length(e)) AS l, count(*) AS n", "SELECT conv_id AS c, max(turn)::BIGINT AS l, count(*) AS n FROM conversations WHERE turn BETWEEN 1 AND 10 GROUP BY 1"),
     "all_shortest": ("MATCH (a:Nation {n_nationkey: 3})-[e:IN_NATION|:PLACED* ALL SHORTEST 1..2]-(b:Orders) RETURN b.o_orderkey AS o, length(e) AS l", "SELECT o_orderkey AS o, 2::BIGINT AS l FROM orders JOIN customer ON o_custkey=c_custkey WHERE c_nationkey=3"),
+    "all_shortest_all": ("MATCH (a:Nation)-[e:IN_NATION|:PLACED|:CONTAINS* ALL SHORTEST 1..3]-(b:Part) RETURN a.n_nationkey AS a, b.p_partkey AS b, length(e) AS l, count(*) AS n", "SELECT c_nationkey AS a, l_partkey AS b, 3::BIGINT AS l, count(*) AS n FROM lineitem JOIN orders ON o_orderkey=l_orderkey JOIN customer ON c_custkey=o_custkey GROUP BY 1,2"),
     "wshortest": ("MATCH (a:Orders {o_orderkey: 1})-[e:CONTAINS* WSHORTEST(l_quantity) 1..1]->(b:Part) RETURN b.p_partkey AS p, cost(e) AS c", "SELECT l_partkey AS p, min(l_quantity) AS c FROM lineitem WHERE l_orderkey=1 GROUP BY 1"),
+    "wshortest_all": ("MATCH (a:Orders)-[e:CONTAINS* WSHORTEST(l_quantity) 1..3]-(b:Part) RETURN a.o_orderkey AS o, count(*) AS n, sum(cost(e)) AS c, max(cost(e)) AS hi", "WITH far AS (SELECT x.l_orderkey AS o, z.l_partkey AS p, x.l_quantity+y.l_quantity+z.l_quantity AS c FROM lineitem x JOIN lineitem y ON y.l_partkey=x.l_partkey JOIN lineitem z ON z.l_orderkey=y.l_orderkey UNION ALL SELECT l_orderkey, l_partkey, l_quantity FROM lineitem), best AS (SELECT o, p, min(c) AS c FROM far GROUP BY 1,2) SELECT o, count(*) AS n, sum(c) AS c, max(c) AS hi FROM best GROUP BY 1"),
     "path_functions": ("MATCH p = (a:Turn {turn: 0})-[:REPLIES*2..2]->(b:Turn) RETURN a.conv_id AS c, length(p) AS l, properties(nodes(p), 'turn') AS t, is_trail(p) AS r, is_acyclic(p) AS y", "SELECT a.conv_id AS c, 2::BIGINT AS l, [0::BIGINT,1,2] AS t, true AS r, true AS y FROM conversations a JOIN conversations b ON b.conv_id=a.conv_id AND b.turn=2 WHERE a.turn=0"),
     # algorithms
     "algo_levels": ("CALL topological_levels(['Turn'], ['REPLIES']) YIELD node, level RETURN level, count(*) AS n, count(node.text) AS t", "SELECT turn AS level, count(*) AS n, count(text) AS t FROM conversations GROUP BY 1"),
