@@ -29,5 +29,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if seen == mark:
             break
         mark = seen
+    else:
+        raise RuntimeError(f"components: the stars are not stable after {rounds} rounds")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
