@@ -19,9 +19,13 @@ ROWS_PER_BATCH = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one of our own only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode, where there are no other machines,
+    a folder of our own takes its place if it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="knotwork-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -31,7 +35,16 @@ def materialize(df: DataFrame, **options) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors, is reused without work."""
     path = f"{shared_dir(df.sparkSession)}/knotwork-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._knotwork_path = path
+    return made
+
+
+def discard(*made: DataFrame) -> None:
+    """Delete what materialize() wrote for these; nothing that is still to run may read them."""
+    for df in made:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._knotwork_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def broadcast_up_to(df: DataFrame, max_rows: int) -> DataFrame:

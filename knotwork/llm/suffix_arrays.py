@@ -1,18 +1,15 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, over numpy vectors.
 
-The scans of the induced sort run bucket by bucket: all that a bucket sends to later buckets goes as one vector, in a
-stable order by symbol, and what it sends to itself (a run of one symbol) is laid out in one step from the run lengths.
-So a scan takes as many steps as there are symbols, whatever the text.
+The scans of the induced sort run by ranges of buckets that send nothing into each other: all that a range sends to later
+buckets goes as one vector, in a stable order by symbol, and what a bucket sends to itself (a run of one symbol) is laid
+out in one step from the run lengths. So the recursion over named substrings, which has as many symbols as names, needs
+no step for each of them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Reduced strings over more symbols than this are ordered by rank doubling: the scan has a step for each symbol.
-RECURSE_SYMBOLS = 2048
-
-
 def _types(t: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one. t ends with a unique least symbol, which counts as smaller."""
     n = len(t)
@@ -47,57 +44,83 @@ def _runs(items: np.ndarray, before: np.ndarray) -> np.ndarray:
     return (items[which] - step)[np.argsort(step, kind="stable")]
 
 
-def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+def _batches(t: np.ndarray, sends: np.ndarray, count: np.ndarray, ascending: bool) -> list[tuple[int, int]]:
+    """Ranges of symbols that one step of a scan can take together: no suffix of such a range sends another one into it.
+
+    sends: whether a place is sent by the suffix after it. A symbol that a run sends to itself is a range of its own.
+    There are about as many ranges as the root of the number of places, whatever the number of symbols."""
+    top = len(count)
+    at = np.flatnonzero(sends[:-1])
+    to, by = t[at], t[at + 1]
+    alone = np.zeros(top, bool)
+    alone[to[to == by]] = True
+    if ascending:
+        nearest = np.full(top, -1, np.int64)
+        np.maximum.at(nearest, to[to > by], by[to > by])
+    else:
+        nearest = np.full(top, top, np.int64)
+        np.minimum.at(nearest, to[to < by], by[to < by])
+    order = np.flatnonzero(count)
+    order = order if ascending else order[::-1]
+    out: list[tuple[int, int]] = []
+    first = last = -1
+    single = True
+    for c, x, own in zip(order.tolist(), nearest[order].tolist(), alone[order].tolist(), strict=True):
+        if single or own or (x >= first if ascending else x <= first):
+            if first >= 0:
+                out.append((first, last))
+            first, single = c, own
+        last = c
+    out.append((first, last))
+    return out
+
+
+def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray, up: list, down: list) -> np.ndarray:
     """The order of all suffixes induced from lms, which is in the wanted order."""
     n = len(t)
     sa = np.full(n, -1, np.int32)
     narrow = np.uint8 if len(starts) <= 256 else np.uint16 if len(starts) <= 1 << 16 else np.int32
     keys = t.astype(narrow)
+    # leftmost-smaller suffixes stand at the ends of their buckets until the second scan
     grouped = lms[np.argsort(keys[lms], kind="stable")]
-    bounds = np.searchsorted(t[grouped], np.arange(len(starts) + 1))
+    symbol = t[grouped]
+    own = np.bincount(symbol, minlength=len(starts))
+    sa[(ends - np.cumsum(own))[symbol] + np.arange(len(grouped))] = grouped
     heads = starts.copy()
-    for c in symbols:
-        own = sa[starts[c] : heads[c]]
-        own = np.concatenate((own, _runs(own, before)))
-        sa[starts[c] : starts[c] + len(own)] = own
-        heads[c] = starts[c] + len(own)
-        scan = np.concatenate((own, grouped[bounds[c] : bounds[c + 1]]))
+    for first, last in up:
+        if first == last:
+            c = first
+            placed = sa[starts[c] : heads[c]]
+            placed = np.concatenate((placed, _runs(placed, before)))
+            sa[starts[c] : starts[c] + len(placed)] = placed
+            heads[c] = starts[c] + len(placed)
+            scan = np.concatenate((placed, sa[ends[c] - own[c] : ends[c]]))
+        else:
+            scan = sa[starts[first] : ends[last]]
         sent = scan[scan > 0] - 1
         sent = sent[~smaller[sent]]
-        sent = sent[keys[sent] > c]
+        sent = sent[keys[sent] > last]
         _deal(sa, heads, sent, keys[sent], True)
     larger_end = heads
     tails = ends - 1
-    for c in symbols[::-1]:
-        own = sa[tails[c] + 1 : ends[c]][::-1]
-        own = np.concatenate((own, _runs(own, before)))
-        sa[ends[c] - len(own) : ends[c]] = own[::-1]
-        tails[c] = ends[c] - len(own) - 1
-        scan = np.concatenate((own, sa[starts[c] : larger_end[c]][::-1]))
+    for first, last in down:
+        if first == last:
+            c = first
+            placed = sa[tails[c] + 1 : ends[c]][::-1]
+            placed = np.concatenate((placed, _runs(placed, before)))
+            sa[ends[c] - len(placed) : ends[c]] = placed[::-1]
+            tails[c] = ends[c] - len(placed) - 1
+            scan = np.concatenate((placed, sa[starts[c] : larger_end[c]][::-1]))
+        else:
+            scan = sa[starts[last] : ends[first]][::-1]
         sent = scan[scan > 0] - 1
         sent = sent[smaller[sent]]
-        sent = sent[keys[sent] < c]
+        sent = sent[keys[sent] < last]
         _deal(sa, tails, sent, keys[sent], False)
     sa[starts[t[-1]]] = n - 1
     return sa
 
 
-def _doubled(t: np.ndarray) -> np.ndarray:
-    """The suffix array by rank doubling."""
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
-    n, step = len(t), 1
-    while True:
-        following = np.zeros(n, np.int64)
-        following[:-step] = rank[step:] + 1 if step < n else 0
-        key = rank * (n + 1) + following
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate(([0], (key[order][1:] != key[order][:-1]).astype(np.int64))))
-        rank, step = new, step * 2
-        if rank[order[-1]] == n - 1 or step >= n:
-            return np.argsort(rank, kind="stable")
-
-
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """The suffix array of t (whole numbers from 0), whose last symbol is least and occurs nowhere else."""
     t = np.asarray(t, np.int32)
@@ -109,12 +132,13 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     count = np.bincount(t)
     ends = np.cumsum(count)
     starts = ends - count
-    symbols = np.flatnonzero(count)
+    larger = ~smaller
+    up, down = _batches(t, larger, count, True), _batches(t, smaller, count, False)
     # how many equal symbols stand right before each place
     change = np.concatenate(([True], t[1:] != t[:-1]))
     place = np.arange(n, dtype=np.int32)
     before = place - np.maximum.accumulate(np.where(change, place, np.int32(0)))
-    sa = _induce(t, smaller, lms, starts.copy(), ends, before, symbols)
+    sa = _induce(t, smaller, lms, starts, ends, before, up, down)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ordered = sa[is_lms[sa]]
@@ -137,9 +161,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
             name_at = np.empty(n, np.int32)
             name_at[ordered] = names
             reduced = name_at[lms]
-            inner = suffix_array(reduced) if names[-1] < RECURSE_SYMBOLS else _doubled(reduced)
-            ordered = lms[inner]
-    return _induce(t, smaller, ordered, starts.copy(), ends, before, symbols)
+            ordered = lms[suffix_array(reduced)]
+    return _induce(t, smaller, ordered, starts, ends, before, up, down)
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:

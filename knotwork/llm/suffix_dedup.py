@@ -4,19 +4,18 @@
    have equal minimizers, so they meet under one key. Neighbouring windows mostly share theirs: a maximal run of windows
    with one minimizer is an anchor (key, place, number of windows), about one for every 85 bytes.
 2. Keys with one anchor, which doesn't repeat inside itself, can't hold a repeated window and go. So do most bytes.
-3. An anchor's whole extent is compared by hash: extents found twice under a key are covered whole, without any sorting,
-   and only one copy of each extent is kept as a partner for the others.
-4. The distinct extents of keys that hold several go to shards of about SHARD_BYTES. A shard's suffix array is made by
-   induced sorting (suffix_arrays.py), and permuted common prefixes of LENGTH or more mark the repeated windows.
-   Before that, extents go whose windows have no chance: all windows that start HALF or more bytes before their minimizer
-   share the bytes around it, and so do the others; if neither core is found in another extent of the key, none repeats.
-5. A key with over HOT_EXTENTS distinct extents or HOT_BYTES of them isn't put into one shard: its windows are compared by hash, first in
-   stretches by the minimizer's place in the window, then, where a stretch is found once only but the core that its
-   windows share more often, one by one (128 bits).
-   Counts are aggregated before any shuffle, so no task gets a key's rows as a whole.
+3. Anchors are cut into pieces: windows with one minimizer, about as far before it (bands of WIDTHS[0] offsets). Equal windows
+   have equal offsets, so they are in the same band; and all windows of a band share a core of bytes around the minimizer.
+   So equal windows only meet in pieces of one group (core, band). Pieces found twice are covered whole; one of each sort
+   goes on, and only if its group holds another sort and one that isn't covered yet.
+4. Groups go to shards of about SHARD_BYTES. A shard's suffix array is made by induced sorting (suffix_arrays.py), and
+   permuted common prefixes of LENGTH or more mark the repeated windows.
+5. A group larger than a shard is cut again, by the next of WIDTHS: narrower bands share longer cores, so the group falls
+   apart. At width 1 a core is the window itself, and a group has one sort. So no shard grows with a frequent passage.
+   All counts are aggregated before the shuffle, and rows meet aggregates only in joins with one row for each sort.
 6. Ranges go back to their texts. Texts found twice and of LENGTH bytes or more are covered whole.
 
-Nothing is dropped, capped or sampled. Texts are told apart by 128 bits of hash, extents by key and 64 bits.
+Nothing is dropped, capped or sampled. Texts are told apart by 128 bits of hash, pieces by 64 bits within their group.
 
 Defined results: a null text counts as empty; texts shorter than LENGTH lose nothing (their sha256 is that of all their
 bytes). Repeated rows are copies of each other and so covered, whatever their ids. An empty table gives an empty result.
@@ -34,18 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import bounded_batches, materialize, quoted
+from knotwork.llm.common import bounded_batches, discard, materialize, quoted
 from knotwork.llm.shingles import mixed, power_tables
 from knotwork.llm.suffix_arrays import common_prefixes, suffix_array
 
 LENGTH = 200
 GRAM = 32
 SHARD_BYTES = 1 << 20
-HOT_EXTENTS = 1000
-HOT_BYTES = 4 << 20
-#: Windows in a stretch of step 5.
-STRETCH = 13
-HALF = 84
+#: Bands of offsets, from one level of cutting to the next; the last must be 1.
+WIDTHS = (85, 13, 1)
+_FAR = LENGTH - GRAM
 _SEGMENT = 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
 _B = 0x9E3779B97F4A7C15
@@ -76,7 +73,7 @@ def least(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(raw: bytes) -> list[np.ndarray]:
-    """Keys (int64) and packed places: first window << 22 | windows - 1 << 1 | whether the run's least piece moves inside it."""
+    """Keys (int64) and packed anchors: first window << 30 | windows - 1 << 9 | offset of the first << 1 | whether the least piece moves."""
     keys, packed = [], []
     windows = len(raw) - LENGTH + 1
     for at in range(0, max(0, windows), _SEGMENT):
@@ -87,19 +84,69 @@ def anchors(raw: bytes) -> list[np.ndarray]:
         moved = np.concatenate(([0], np.cumsum(place[1:] != place[:-1])))
         moves = moved[first + count - 1] > moved[first]
         keys.append(value[first].view(np.int64))
-        packed.append((at + first) << 22 | (count - 1) << 1 | moves)
+        packed.append((at + first) << 30 | (count - 1) << 9 | (place[first] - first) << 1 | moves)
     return [np.concatenate(keys), np.concatenate(packed)] if keys else [np.zeros(0, np.int64)] * 2
 
 
-def _extent(packed: int) -> tuple[int, int]:
-    start = packed >> 22
-    return start, start + ((packed >> 1) & ((1 << 21) - 1)) + LENGTH
+def runs(raw: bytes, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and offset of the first, of the runs of windows with one least piece in the anchors."""
+    start, count, offset = packed >> 30, ((packed >> 9) & ((1 << 21) - 1)) + 1, (packed >> 1) & 255
+    still = (packed & 1) == 0
+    parts = [(start[still], count[still], offset[still])]
+    for s, n in zip(start[~still].tolist(), count[~still].tolist(), strict=True):
+        place, _ = least(raw[s : s + n - 1 + LENGTH])
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        parts.append((s + first, np.diff(np.append(first, n)), place[first] - first))
+    return tuple(np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True))
 
 
-def repeated_windows(extents: list[bytes]) -> list[np.ndarray]:
-    """For each extent, whether each of its windows is also found elsewhere in the list, by suffix array."""
-    sizes = np.array([len(x) for x in extents])
-    t = np.frombuffer(b"\0".join(extents) + b"\0\0", np.uint8).astype(np.int32) + 1
+def split(start: np.ndarray, count: np.ndarray, offset: np.ndarray, width: int) -> list[np.ndarray]:
+    """Runs cut at the borders of bands: first window, number of windows, offset of the first, band."""
+    high = offset // width
+    parts = high - (offset - count + 1) // width + 1
+    which = np.repeat(np.arange(len(start)), parts)
+    band = high[which] - (np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts))
+    top = np.minimum(offset[which], band * width + width - 1)
+    bottom = np.maximum((offset - count + 1)[which], band * width)
+    return [start[which] + offset[which] - top, top - bottom + 1, top, band]
+
+
+def packed_pieces(start: np.ndarray, count: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    return start << 20 | (count - 1) << 10 | offset
+
+
+def unpacked(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return q >> 20, ((q >> 10) & 1023) + 1, q & 1023
+
+
+def pieces(raw: bytes, start: np.ndarray, count: np.ndarray, offset: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed pieces of the runs, the hash of each one's group (core and band), and the hash of its bytes."""
+    start, count, offset, band = split(start, count, offset, width)
+    order = np.argsort(start, kind="stable")
+    start, count, offset, band = start[order], count[order], offset[order], band[order]
+    low = start + offset - band * width  # the core's bytes
+    high = start + offset - np.minimum(band * width + width - 1, _FAR) + LENGTH
+    group = np.zeros(len(start), np.uint64)
+    with np.errstate(over="ignore"):
+        salt = (band.astype(np.uint64) * np.uint64(256) + np.uint64(width)) * np.uint64(0xD6E8FEB86659FD93)
+        for at in range(0, len(raw), _SEGMENT):
+            a, b = np.searchsorted(start, [at, at + _SEGMENT])
+            if a == b:
+                continue
+            part = np.frombuffer(raw, np.uint8, min(len(raw) - at, _SEGMENT + 2 * LENGTH), at)
+            power, inverse = power_tables(len(part))
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)])))
+            x, y = low[a:b] - at, high[a:b] - at
+            group[a:b] = mixed((sums[y] - sums[x]) * inverse[x] + salt[a:b])
+    end = start + count - 1 + LENGTH
+    own = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start))
+    return packed_pieces(start, count, offset), group.view(np.int64), own.view(np.int64)
+
+
+def repeated_windows(found: list[bytes]) -> list[np.ndarray]:
+    """For each piece, whether each of its windows is also found elsewhere in the list, by suffix array."""
+    sizes = np.array([len(x) for x in found])
+    t = np.frombuffer(b"\0".join(found) + b"\0\0", np.uint8).astype(np.int32) + 1
     begin = np.cumsum(sizes + 1) - (sizes + 1)
     separators = begin[1:] - 1
     t[separators] = 1  # one separator symbol, below all bytes (which start at 1 + 1)
@@ -120,33 +167,8 @@ def repeated_windows(extents: list[bytes]) -> list[np.ndarray]:
     return [twice[b : b + s - LENGTH + 1] for b, s in zip(begin.tolist(), sizes.tolist(), strict=True)]
 
 
-def worth_sorting(keys: list[int], extents: list[bytes]) -> list[bool]:
-    """Whether an extent can hold a window that is also found elsewhere among the extents of its key."""
-    every = b"".join(extents)
-    if len(every) >= 1 << 21:
-        return [True] * len(extents)
-    place, _ = least(every)
-    size = np.array([len(x) for x in extents])
-    begin = np.cumsum(size) - size
-    p, end = place[begin], begin + size - LENGTH
-    moving = place[end] != p
-    low, high = p - end, p - begin  # how far before the minimizer windows start
-    power, inverse = power_tables(len(every))
-    key = np.array(keys, np.int64).view(np.uint64)
-    need = np.zeros(len(extents), bool)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((np.frombuffer(every, np.uint8).astype(np.uint64) + np.uint64(1)) * power[: len(every)])))
-        for some, first, last in ((high >= HALF, p - HALF, p + GRAM), (low < HALF, p, p + LENGTH - HALF)):
-            at = np.flatnonzero(some & ~moving)
-            core = mixed((sums[last[at]] - sums[first[at]]) * inverse[first[at]]) ^ key[at]
-            _, which, count = np.unique(core, return_inverse=True, return_counts=True)
-            need[at[count[which] > 1]] = True
-    restless = np.isin(key, key[moving])  # a moving minimizer can meet any core of its key
-    return (need | restless).tolist()
-
-
 def ranges(flags: np.ndarray) -> list[int]:
-    """Covered bytes of an extent, as flat starts and ends, from flags for its windows."""
+    """Covered bytes of a piece, as flat starts and ends, from flags for its windows."""
     step = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
     first, last = np.flatnonzero(step > 0), np.flatnonzero(step < 0)
     return np.stack([first, last - 1 + LENGTH], axis=1).ravel().tolist()
@@ -194,93 +216,102 @@ def _first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, h, p, e) for each anchor of each text: e is the hash of its extent."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256).to_pydict()
-            out: list[list] = [[], [], [], [], []]
-            for k1, k2, text, found in zip(part["k1"], part["k2"], part["text"], part["found"], strict=True):
-                raw = _bytes(text)
-                for x in found:
-                    a, b = _extent(x["p"])
-                    for c, v in zip(out, (k1, k2, x["h"], x["p"], xxhash.xxh3_64_intdigest(raw[a:b]) - (1 << 63)), strict=True):
-                        c.append(v)
-            yield _rows(["k1", "k2", "h", "p", "e"], [pa.int64()] * 5, out)
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ranges (by start, ends too) as maximal ones."""
+    if not len(start):
+        return start, end
+    first = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
+    return start[first], end[np.append(first[1:], len(end)) - 1]
+
+
+_PIECES = "k1 long, k2 long, q long, g long, f long, twice boolean, a long, b long"
+_KINDS = [pa.int64()] * 5 + [pa.bool_()] + [pa.int64()] * 2
+
+
+def _pieces_at(width: int, cut):
+    """A function of batches (k1, k2, text, found): rows of _PIECES, for each sort of piece of a text one (a, b null), and one
+    for each maximal range of what a text's repeated pieces cover (only k1, k2, a, b)."""
+
+    def of(raw: bytes, found: np.ndarray) -> list[pa.Array]:
+        q, g, f = pieces(raw, *cut(raw, found), width)
+        with np.errstate(over="ignore"):
+            sort = g.view(np.uint64) * np.uint64(_B) + f.view(np.uint64)
+        _, first, which, times = np.unique(sort, return_index=True, return_inverse=True, return_counts=True)
+        start, count, _ = unpacked(q[times[which] > 1])
+        a, b = merged(start, start + count - 1 + LENGTH)
+        none = [pa.nulls(len(first), pa.int64())] * 2
+        here = [q[first], g[first], f[first], times > 1]
+        return [pa.concat_arrays([pa.array(x), pa.nulls(len(a), k)]) for x, k in zip(here, _KINDS[2:6], strict=True)] + [pa.concat_arrays([n, pa.array(x)]) for n, x in zip(none, (a, b), strict=True)]
+
+    names = [x.split(" ")[0] for x in _PIECES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[pa.Array]] = [[] for _ in names]
+            held = 0
+            for i in range(batch.num_rows):
+                k1, k2, text = (batch.column(c)[i].as_py() for c in range(3))
+                made = of(_bytes(text), batch.column(3)[i].values.to_numpy(zero_copy_only=False))
+                n = len(made[0])
+                for c, x in zip(out, [pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), *made], strict=True):
+                    c.append(x)
+                held += n
+                if held > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in out], names=names)
+                    out, held = [[] for _ in names], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in out], names=names)
+
+    return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, e, bytes) for each wanted anchor of each text."""
+    """(k1, k2, g, q, lone, bytes) for each wanted piece of each text."""
+    names, kinds = ["k1", "k2", "g", "q", "lone", "bytes"], [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256).to_pydict()
-            out: list[list] = [[], [], []]
-            for text, wanted in zip(part["text"], part["wanted"], strict=True):
-                raw = _bytes(text)
-                for x in wanted:
-                    a, b = _extent(x["p"])
-                    for c, v in zip(out, (x["h"], x["e"], raw[a:b]), strict=True):
-                        c.append(v)
-            yield _rows(["h", "e", "bytes"], [pa.int64(), pa.int64(), pa.binary()], out)
+        out: list[list] = [[] for _ in names]
+        for i in range(batch.num_rows):
+            k1, k2, text, wanted = (c[i].as_py() for c in batch.columns)
+            raw = _bytes(text)
+            for x in wanted:
+                start = x["q"] >> 20
+                for c, v in zip(out, (k1, k2, x["g"], x["q"], x["lone"], raw[start : start + ((x["q"] >> 10) & 1023) + LENGTH]), strict=True):
+                    c.append(v)
+            if len(out[0]) > 20_000:
+                yield _rows(names, kinds, out)
+                out = [[] for _ in names]
+        yield _rows(names, kinds, out)
 
 
 def _sorted_shard(shard: pa.Table) -> pa.Table:
-    """(h, e, ranges) of a shard: keys are put together up to SHARD_BYTES, and one suffix array is made of those at a time."""
-    rows = {(h, e): x for h, e, x in zip(shard["h"].to_pylist(), shard["e"].to_pylist(), shard["bytes"].to_pylist(), strict=True)}
-    found, batch, held = [], [], 0
+    """(k1, k2, a, b) of a shard: groups are put together up to SHARD_BYTES, and one suffix array is made of those at a time.
+
+    Only pieces found once (lone) have ranges to tell: the others are covered already, and stand here as their partners."""
+    groups, raws, lone = shard["g"].to_pylist(), shard["bytes"].to_pylist(), shard["lone"].to_pylist()
+    places = list(zip(shard["k1"].to_pylist(), shard["k2"].to_pylist(), shard["q"].to_pylist(), strict=True))
+    out: list[list[int]] = [[], [], [], []]
+    batch: list[int] = []
+    held = 0
 
     def work() -> None:
-        chosen = [k for k, x in zip(batch, worth_sorting([h for h, _ in batch], [rows[k] for k in batch]), strict=True) if x]
-        if chosen:
-            for k, flags in zip(chosen, repeated_windows([rows[k] for k in chosen]), strict=True):
-                if flags.any():
-                    found.append((*k, ranges(flags)))
-
-    keys = sorted(rows)
-    for at, k in enumerate(keys):
-        if held > SHARD_BYTES and k[0] != keys[at - 1][0]:
+        for i, flags in zip(batch, repeated_windows([raws[i] for i in batch]), strict=True):
+            if lone[i] and flags.any():
+                k1, k2, q = places[i]
+                found = ranges(flags)
+                for a, b in zip(found[::2], found[1::2], strict=True):
+                    for c, v in zip(out, (k1, k2, (q >> 20) + a, (q >> 20) + b), strict=True):
+                        c.append(v)
+
+    order = sorted(range(len(groups)), key=lambda i: (groups[i], places[i]))
+    for at, i in enumerate(order):
+        if held > SHARD_BYTES and groups[i] != groups[order[at - 1]]:
             work()
             batch, held = [], 0
-        batch.append(k)
-        held += len(rows[k])
+        batch.append(i)
+        held += len(raws[i])
     if batch:
         work()
-    columns = list(zip(*found, strict=True)) if found else [(), (), ()]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["h", "e", "ranges"])
-
-
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, e, j, f, c, s, bytes): stretches of an extent's windows whose minimizer is one and about as far in; f is the
-    stretch's hash, c that of the core which all windows so far before their minimizer share, s its first window."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256).to_pydict()
-            out: list[list] = [[] for _ in range(7)]
-            for h, e, raw in zip(part["h"], part["e"], part["bytes"], strict=True):
-                place, _ = least(raw)
-                offset = (place - np.arange(len(place))) // STRETCH
-                first = np.flatnonzero(np.concatenate(([True], (offset[1:] != offset[:-1]) | (place[1:] != place[:-1]))))
-                for s, n in zip(first.tolist(), np.append(first[1:], len(offset)).tolist(), strict=True):
-                    piece, j = raw[s : n - 1 + LENGTH], int(offset[s])
-                    core = int(place[s]) - STRETCH * j
-                    values = (h, e, j, xxhash.xxh3_64_intdigest(piece) - (1 << 63), xxhash.xxh3_64_intdigest(raw[core : core + LENGTH + 1 - STRETCH]) - (1 << 63), s, piece)
-                    for c, v in zip(out, values, strict=True):
-                        c.append(v)
-            yield _rows(["h", "e", "j", "f", "c", "s", "bytes"], [pa.int64()] * 6 + [pa.binary()], out)
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, e, s, w1, w2) for each window: 128 bits of hash."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256).to_pydict()
-            out: list[list] = [[] for _ in range(5)]
-            for h, e, s, raw in zip(part["h"], part["e"], part["s"], part["bytes"], strict=True):
-                for i in range(len(raw) - LENGTH + 1):
-                    w = xxhash.xxh3_128_intdigest(raw[i : i + LENGTH])
-                    for c, v in zip(out, (h, e, s + i, (w >> 64) - (1 << 63), (w & 0xFFFFFFFFFFFFFFFF) - (1 << 63)), strict=True):
-                        c.append(v)
-            yield _rows(["h", "e", "s", "w1", "w2"], [pa.int64()] * 5, out)
+    return pa.table([pa.array(c, pa.int64()) for c in out], names=["k1", "k2", "a", "b"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,78 +339,71 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(["k1", "k2", "n_removed", "n_spans", "kept_sha256"], [pa.int64()] * 4 + [pa.string()], out)
 
 
-def _shards_of(normal: DataFrame) -> DataFrame:
-    total = normal.agg(F.sum(F.length("bytes")).alias("n")).first()["n"] or 0  # one number
+def _level(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the pieces of one level: ranges (k1, k2, a, b) of those found twice; and those wanted (k1, k2, q, g, lone), one of
+    each sort of a group that holds several and one that isn't covered: of groups that fit into a shard, and of larger ones."""
+    place = F.xxhash64("k1", "k2", "q")
+    size = F.shiftright("q", 10).bitwiseAND(1023) + LENGTH
+    only = [F.min(c).alias(c) for c in ("k1", "k2", "q")]  # the place, where there is one
+    sorts = rows.groupBy("g", "f").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("twice").alias("twice"), F.max(size).alias("size"), *only)
+    sorts = materialize(sorts.select("g", "f", "x", ((F.col("x") != F.col("y")) | F.col("twice")).alias("many"), "size", "k1", "k2", "q"))
+    groups = sorts.groupBy("g").agg(F.count(F.lit(1)).alias("sorts"), F.count_if(~F.col("many")).alias("lone"), F.sum("size").alias("bytes"))
+    groups = materialize(groups.filter("sorts > 1 AND lone > 0").select("g", (F.col("bytes") > SHARD_BYTES).alias("large")))
+    sorts = materialize(sorts.join(groups, "g", "left").filter("many OR large IS NOT NULL"))
+    again = materialize(rows.select("k1", "k2", "q", "g", "f").join(sorts.filter("many").select("g", "f", "x", "large"), ["g", "f"]))
+    start, end = F.shiftright("q", 20), F.shiftright("q", 20) + F.shiftright("q", 10).bitwiseAND(1023) + LENGTH
+    whole = again.select("k1", "k2", start.alias("a"), end.alias("b"))
+    wanted = sorts.filter("NOT many").select("k1", "k2", "q", "g", F.lit(True).alias("lone"), "large")
+    wanted = wanted.unionByName(again.filter(F.col("large").isNotNull() & (F.col("x") == place)).select("k1", "k2", "q", "g", F.lit(False).alias("lone"), "large"))
+    return whole, wanted.filter("NOT large").drop("large"), wanted.filter("large").drop("large")
+
+
+def _shards(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(k1, k2, a, b): what the suffix arrays of the wanted pieces tell."""
+    listed = wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct("g", "q", "lone")).alias("wanted"))
+    cut = texts.select("k1", "k2", "text").join(listed, ["k1", "k2"]).select("k1", "k2", "text", "wanted")
+    cut = materialize(cut.mapInArrow(_cut, "k1 long, k2 long, g long, q long, lone boolean, bytes binary"))
+    total = cut.agg(F.sum(F.length("bytes")).alias("n")).first()["n"] or 0  # one number
     shards = max(1, -(-total // SHARD_BYTES))
-    return normal.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).groupBy("shard").applyInArrow(lambda t: _sorted_shard(t), "h long, e long, ranges array<long>")
-
-
-def _hot_ranges(hot: DataFrame) -> DataFrame:
-    """Step 5: (h, e, ranges) of keys with many extents."""
-    stretches = materialize(hot.select("h", "e", "bytes").mapInArrow(_stretches, "h long, e long, j long, f long, c long, s long, bytes binary"))
-    mark = F.xxhash64("e", "s")
-    several = lambda df, *by: df.groupBy(*by).agg(F.min(mark).alias("x"), F.max(mark).alias("y")).filter("x <> y").select(*by)
-    alike = several(stretches, "h", "j", "f")
-    whole = stretches.join(alike, ["h", "j", "f"], "left_semi")
-    rest = stretches.join(alike, ["h", "j", "f"], "left_anti").join(several(stretches, "h", "j", "c"), ["h", "j", "c"], "left_semi")
-    # partners: of stretches found more often, one of each sort
-    others = whole.join(rest.select("h", "j", "c").distinct(), ["h", "j", "c"], "left_semi").groupBy("h", "j", "f").agg(F.min(F.struct("e", "s", "bytes")).alias("one")).select("h", "one.*")
-    single = rest.select("h", "e", "s", "bytes").unionByName(others.select("h", "e", "s", "bytes"))
-    windows = materialize(single.mapInArrow(_windows, "h long, e long, s long, w1 long, w2 long"))
-    found = windows.join(several(windows, "w1", "w2"), ["w1", "w2"], "left_semi")
-    size = F.col("s") + F.length("bytes")
-    each = whole.select("h", "e", F.struct(F.col("s").alias("a"), size.cast("long").alias("b")).alias("r")).unionByName(found.select("h", "e", F.struct(F.col("s").alias("a"), (F.col("s") + LENGTH).alias("b")).alias("r")))
-    # an extent's ranges, no more than it has windows, in as few as they make
-    joined = F.expr(
-        """flatten(transform(aggregate(array_sort(r), cast(array() as array<struct<a: bigint, b: bigint>>),
-        (o, x) -> if(size(o) > 0 AND element_at(o, -1).b >= x.a,
-            concat(slice(o, 1, size(o) - 1), array(named_struct('a', element_at(o, -1).a, 'b', greatest(element_at(o, -1).b, x.b)))),
-            concat(o, array(x)))), x -> array(x.a, x.b)))"""
-    )
-    return each.groupBy("h", "e").agg(F.collect_set("r").alias("r")).select("h", "e", joined.alias("ranges"))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)))
+    return materialize(dealt.groupBy("shard").applyInArrow(lambda t: _sorted_shard(t), "k1 long, k2 long, a long, b long"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 for each row."""
     bounded_batches(docs.sparkSession)
     t = F.coalesce(docs[quoted(text)], F.lit(""))
-    keyed = docs.select(docs[quoted(doc_id)].alias("doc_id"), t.alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64("text", F.lit(1))})
+    keyed = docs.select(docs[quoted(doc_id)].alias("doc_id"), t.alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
     narrow = materialize(keyed.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
     long = keyed.filter(F.octet_length("text") >= LENGTH).select("k1", "k2", "text")
 
-    prints = long.mapInArrow(_fingerprints, "k1 long, k2 long, h long, p long")
+    prints = materialize(long.mapInArrow(_fingerprints, "k1 long, k2 long, h long, p long"))
     place = F.xxhash64("k1", "k2", "p")
-    several = prints.groupBy("h").agg(F.min(place).alias("x"), F.max(place.bitwiseXOR(F.col("p").bitwiseAND(1))).alias("y")).filter("x <> y").select("h")
-    suspects = prints.join(several, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "p")).alias("found"))
-    texts = materialize(long.mapInArrow(_first_of_task, "k1 long, k2 long, text string").join(suspects, ["k1", "k2"]))
-
-    rows = materialize(texts.mapInArrow(_extents, "k1 long, k2 long, h long, p long, e long"))
-    by_extent = rows.groupBy("h", "e").agg(F.min(place).alias("x"), F.max(place).alias("y"))
-    by_key = by_extent.groupBy("h").agg(F.count(F.lit(1)).alias("extents"))
-    moving = rows.groupBy("h").agg(F.max(F.col("p").bitwiseAND(1)).alias("moves"))
-    by_key = by_key.join(moving, "h")
-    info = by_extent.join(by_key, "h").select("h", "e", (F.col("x") != F.col("y")).alias("whole"), ((F.col("extents") > 1) | (F.col("moves") == 1)).alias("sort"), F.col("x").alias("one"), "extents")
-    judged = materialize(rows.join(info, ["h", "e"]))
-    whole = judged.filter("whole").select("k1", "k2", "p", F.lit(None).cast("array<long>").alias("ranges"))
-    wanted = judged.filter("sort").filter(F.col("one") == place)
-    wanted = wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "e", "p")).alias("wanted"))
-    cut = texts.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut, "h long, e long, bytes binary")
-    cut = materialize(cut)
-    heavy = (F.col("extents") > HOT_EXTENTS) | ((F.col("extents") > 1) & (F.col("size") > HOT_BYTES))
-    counts = cut.groupBy("h").agg(F.count(F.lit(1)).alias("extents"), F.sum(F.length("bytes")).alias("size")).filter(heavy).select("h")
-    sorted_ranges = _shards_of(cut.join(counts, "h", "left_anti"))
-    hot_ranges = _hot_ranges(cut.join(counts, "h", "left_semi"))
-    covered = judged.filter("sort AND NOT whole").select("h", "e", "k1", "k2", "p")
-    part = covered.join(sorted_ranges.unionByName(hot_ranges), ["h", "e"]).select("k1", "k2", "p", "ranges")
-    start = F.shiftright("p", 22)
-    full = F.array(F.lit(0).cast("long"), F.shiftright("p", 1).bitwiseAND((1 << 21) - 1) + LENGTH)
-    flat = whole.unionByName(part).withColumn("ranges", F.coalesce("ranges", full)).withColumn("start", start)
-    each = flat.select("k1", "k2", F.explode(F.expr("transform(sequence(0, size(ranges) - 1, 2), i -> struct(start + ranges[i] AS a, start + ranges[i + 1] AS b))")).alias("x"))
-    by_text = each.groupBy("k1", "k2").agg(F.collect_set("x").alias("covered"))
+    several = materialize(prints.groupBy("h").agg(F.min(place).alias("x"), F.max(place.bitwiseXOR(F.col("p").bitwiseAND(1))).alias("y")).filter("x <> y").select("h"))
+    suspects = prints.join(several, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set("p").alias("found"))
+    texts = long.mapInArrow(_first_of_task, "k1 long, k2 long, text string").join(suspects, ["k1", "k2"])
+    texts = materialize(texts.dropDuplicates(["k1", "k2"]))
+    discard(prints, several)
+
+    covered, source, cut = [], texts, runs
+    for width in WIDTHS:
+        rows = materialize(source.select("k1", "k2", "text", "found").mapInArrow(_pieces_at(width, cut), _PIECES))
+        covered.append(rows.filter("q IS NULL").select("k1", "k2", "a", "b"))
+        whole, wanted, large = _level(rows.filter("q IS NOT NULL"))
+        covered += [whole, _shards(wanted, texts)]
+        large = materialize(large.groupBy("k1", "k2").agg(F.collect_set("q").alias("found")))
+        if large.isEmpty():
+            break
+        source, cut = texts.select("k1", "k2", "text").join(large, ["k1", "k2"]), lambda raw, q: unpacked(q)
+
+    every = covered[0]
+    for more in covered[1:]:
+        every = every.unionByName(more)
+    by_text = every.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("covered"))
     kept = texts.select("k1", "k2", "text").join(by_text, ["k1", "k2"]).mapInArrow(_kept, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string")
-    kept = kept.groupBy("k1", "k2").agg(F.max("n_removed").alias("r"), F.max("n_spans").alias("s"), F.max("kept_sha256").alias("kept"))
+    kept = kept.select("k1", "k2", F.col("n_removed").alias("r"), F.col("n_spans").alias("s"), F.col("kept_sha256").alias("kept"))
     copies = narrow.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
-    found = copies.join(kept, ["k1", "k2"], "left")
+    found = materialize(copies.join(kept, ["k1", "k2"], "left"))
     out = narrow.join(found, ["k1", "k2"], "left")
     all_of_it = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     return out.select(

@@ -49,10 +49,10 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("hot", [1000, 3])
-def test_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT_EXTENTS", hot)
-    texts = corpus(hot)
+@pytest.mark.parametrize(("seed", "shard"), [(1000, 1 << 20), (3, 2000), (4, 500)])
+def test_brute_force(spark, monkeypatch, seed, shard):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)  # small: groups are cut at all widths
+    texts = corpus(seed)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_bytes string").repartition(3)
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs).collect()}
     want = brute(texts)
@@ -66,12 +66,26 @@ def test_empty_table(spark):
     assert suffix_dedup.remove_repeats(docs).count() == 0
 
 
-@pytest.mark.parametrize("recurse", [1, 2048])
-def test_suffix_arrays(monkeypatch, recurse):
-    monkeypatch.setattr(suffix_arrays, "RECURSE_SYMBOLS", recurse)
+def test_very_long_texts(spark):
+    """Over a segment of 1 MiB: one symbol, a short period, and a passage on both sides of a segment's border."""
+    r = random.Random(9)
+    n = 1 << 20
+    say = lambda k: "".join(r.choice("abcdefghij klmnop") for _ in range(k))
+    own, passage = say(n + 5000), say(500)
+    own = own[: n - 300] + passage + own[n + 200 :]
+    texts = ["x" * (n + 700), "xyz" * ((n + 700) // 3), own, say(50) + passage + say(50), "x" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {row["doc_id"]: tuple(row)[1:] for row in suffix_dedup.remove_repeats(docs).collect()}
+    for i in (0, 1, 4):
+        assert got[i] == (len(texts[i]), len(texts[i]), 1, hashlib.sha256(b"").hexdigest())
+    assert got[2] == (len(own), 500, 1, hashlib.sha256((own[: n - 300] + own[n + 200 :]).encode()).hexdigest())
+    assert got[3] == (600, 500, 1, hashlib.sha256((texts[3][:50] + texts[3][-50:]).encode()).hexdigest())
+
+
+def test_suffix_arrays():
     r = np.random.default_rng(5)
-    for trial in range(150):
-        t = np.append(np.repeat(r.integers(1, 4, r.integers(1, 40)), 1 + trial % 4), 0)
+    for trial in range(400):
+        t = np.append(np.repeat(r.integers(1, 4 + trial % 40, r.integers(1, 40 + trial)), 1 + trial % 4), 0)
         listed = t.tolist()
         want = sorted(range(len(t)), key=lambda i: listed[i:])
         sa = suffix_arrays.suffix_array(t)
