@@ -5,7 +5,7 @@ from __future__ import annotations
 import copy
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.errors import CatalogError
@@ -26,6 +26,8 @@ class NodeTable:
     comment: str = ""
     no_nan: bool = False
     external: bool = False
+    #: of streams into this table: their checkpoint and the numbers of the batches that are in
+    batches: dict = field(default_factory=dict)
 
     def column(self, name: str) -> str | None:
         return next((c for c in self.columns if c.lower() == name.lower()), None)
@@ -46,6 +48,7 @@ class RelTable:
     comment: str = ""
     no_nan: bool = False
     external: bool = False
+    batches: dict = field(default_factory=dict)
 
     column = NodeTable.column
 
@@ -60,6 +63,13 @@ class Sequence:
     cycle: bool = False
     value: int | None = None
 
+    def rooms(self, first: int) -> tuple[int, int, int]:
+        """How many values there are from first on, where a cycle begins again, and how many values it has."""
+        up = self.increment > 0
+        again = self.low if up else self.high
+        left = lambda v: ((self.high - v) if up else (v - self.low)) // abs(self.increment) + 1
+        return left(first), again, left(again)
+
     def take(self, n: int = 1) -> list[int]:
         out = []
         for _ in range(n):
@@ -129,18 +139,22 @@ class Catalog:
         self.nodes[name] = NodeTable(name, self.new_id(), made, key, columns, no_nan=no_nan)
         return self.nodes[name]
 
-    def add_rels(self, name: str, pairs: dict[tuple[str, str], tuple[DataFrame, str, str]], key: Column | str | None = None, no_nan: bool = False, many: str = "MANY_MANY") -> RelTable:
+    def add_rels(self, name: str, pairs: dict[tuple[str, str], tuple[DataFrame, str, str]], key: Column | str | None = None, no_nan: bool = False, many: str = "MANY_MANY", unique: bool = False) -> RelTable:
         """DataFrames as a relationship table: (from, to) -> (df, column of the from key, column of the to key). Other columns are properties.
 
-        key: an expression that tells the relationships of a pair apart; without one, a hash of the row does. many: how many
-        relationships a node has (MANY_ONE: one going out, ONE_MANY: one coming in); the planner trusts it."""
+        key: an expression that tells the relationships of a pair apart; without one, a hash of the row does, with the row's
+        number among equal ones (made only where a query needs identity). unique: no two rows are equal, so none is needed.
+        many: how many relationships a node has (MANY_ONE: one going out, ONE_MANY: one coming in); the planner trusts it."""
         if self.has(name):
             raise CatalogError(f"{name} already exists in catalog.")
         made, ids, columns = {}, {}, {}
         for (a, b), (df, src, dst) in pairs.items():
             place = lambda c, t: F.col(c).cast("bigint") if t.columns[t.key].integer else F.xxhash64(c)
             props = [c for c in df.columns if c not in (src, dst)]
-            off = F.xxhash64(*df.columns) if key is None else F.expr(key) if isinstance(key, str) else key
+            row = F.xxhash64(*df.columns)
+            if key is None and not unique:
+                row = F.xxhash64(row, F.row_number().over(Window.partitionBy(row).orderBy(F.lit(1))))
+            off = row if key is None else F.expr(key) if isinstance(key, str) else key
             made[a, b] = df.select(place(src, self.node(a)).alias("_src"), place(dst, self.node(b)).alias("_dst"), off.alias("_off"), *props)
             ids[a, b] = self.new_id()
             columns |= {c: engine_type(df.schema[c].dataType) for c in props}

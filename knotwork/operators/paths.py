@@ -236,7 +236,8 @@ class _Walk:
             nxt = self.step(cur, hop, False, False)
             nxt = nxt.join(seen, ["st", "so", "ct", "co"], "left_anti")
             if not every:
-                nxt = nxt.dropDuplicates(["st", "so", "ct", "co"])
+                key = ["st", "so", "ct", "co"]  # one of the shortest, the same in each run
+                nxt = nxt.groupBy(*key).agg(F.min(F.struct(*[c for c in nxt.columns if c not in key])).alias("_one")).select(*key, "_one.*")
             cur = materialize(nxt)
             if cur.isEmpty():
                 break

@@ -6,13 +6,19 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from knotwork.errors import ConfigurationError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """spark.checkpoint.dir; a folder of our own only where that is unset and there are no other machines."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ConfigurationError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         folder = tempfile.mkdtemp(prefix="knotwork-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -32,15 +38,12 @@ def materialize(df: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """df, materialized, with a column of the row's number from 0, and the number of rows.
 
-    Each partition numbers its own rows; only a count for each partition comes to the driver."""
+    Each partition numbers its own rows, and a table with a row for each partition tells how many come before."""
     own = materialize(df.withColumn(name, F.monotonically_increasing_id()))
-    part = F.shiftright(name, 33)
-    counts = sorted(own.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    total, pairs = 0, []
-    for p, n in counts:
-        pairs += [F.lit(p), F.lit(total).cast("bigint")]
-        total += n
-    if not pairs:
-        return own, 0
-    offset = F.element_at(F.create_map(*pairs), part)
-    return own.withColumn(name, offset + F.col(name).bitwiseAND((1 << 33) - 1)), total
+    counts = materialize(own.groupBy(F.shiftright(name, 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n")))
+    parts, total = counts.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    if parts <= 1:
+        return own.withColumn(name, F.col(name).bitwiseAND((1 << 33) - 1)), total or 0
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    joined = own.withColumn("_part", F.shiftright(name, 33)).join(before, "_part")
+    return joined.withColumn(name, F.col("_before") + F.col(name).bitwiseAND((1 << 33) - 1)).select(*own.columns), total

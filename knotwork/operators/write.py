@@ -279,7 +279,9 @@ def set_items(tr, frame, items):
             e2 = e if e.ty == b.columns[c] else (E(e.col.try_cast(spark_type(b.columns[c])), b.columns[c]) if e.ty.name == "STRING" and b.columns[c].name not in ("STRING",) and not b.columns[c].listy else cast(e, b.columns[c]))
             values[c] = (tr.fresh(c), e2)
         df = materialize(tr.frame.df.withColumns({n: e.col for n, e in values.values()}))
-        new = df.filter(b.off().isNotNull()).select(b.off().alias("_o"), b.tab().alias("_t"), *[F.col(n) for n, _ in values.values()]).groupBy("_o", "_t").agg(*[F.last(n).alias(n) for n, _ in values.values()])
+        new = df.filter(b.off().isNotNull()).select(b.off().alias("_o"), b.tab().alias("_t"), *[F.col(n) for n, _ in values.values()])
+        # several rows may set one property: the greatest values stay, together, so that reruns agree
+        new = new.groupBy("_o", "_t").agg(F.max(F.struct(*[n for n, _ in values.values()])).alias("_v")).select("_o", "_t", "_v.*")
         new = materialize(new)
         targets = [(t, None) for t in b.tables] if b.kind == "node" else b.tables
         for t, pair in targets:

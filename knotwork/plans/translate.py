@@ -563,11 +563,13 @@ class Translator:
             if not (e.ty.integer or e.ty.floating or e.ty.name == "ANY"):
                 raise BinderError(f"Cannot match a built-in function for given function {name.upper()}({e.ty}).")
             wide = c.cast("decimal(38,0)") if e.ty.integer else c.cast("double")
-            if name == "avg":
-                c = c.cast("double") if not e.ty.integer or e.ty.name in ("INT128", "UINT64", "UINT128") else c
+            if name == "avg":  # sums of whole numbers are exact
                 if m is not None and not distinct:
-                    return (F.sum(c.cast("double") * m) / F.sum(F.when(c.isNotNull(), m)), DOUBLE)
-                return ((F.sum_distinct(c) / F.count_distinct(c) if distinct else F.avg(c)).cast("double"), DOUBLE)
+                    return (F.sum(wide * m).cast("double") / F.sum(F.when(c.isNotNull(), m)), DOUBLE)
+                if not e.ty.integer and not distinct:
+                    return (F.avg(wide), DOUBLE)
+                total, n = (F.sum_distinct(wide), F.count_distinct(wide)) if distinct else (F.sum(wide), F.count(wide))
+                return (F.try_divide(total.cast("double"), n.cast("double")), DOUBLE)
             if m is not None and not distinct:
                 wide = wide * m
             total = F.sum_distinct(wide) if distinct else F.sum(wide)
@@ -588,7 +590,15 @@ class Translator:
             # the value at ceil(p * n), from counts of values that are merged before the shuffle
             name = self.fresh("rank")
             self.frame.df = self.frame.df.withColumn(name, c.cast("double") if e.ty.floating else c)
-            return (F.expr(f"percentile_disc({rank}) WITHIN GROUP (ORDER BY {name})").cast(spark_type(e.ty)), e.ty)
+            near = F.expr(f"percentile_disc({rank}) WITHIN GROUP (ORDER BY {name})").cast(spark_type(e.ty))
+            if e.ty.name != "INT64" and e.ty.name != "SERIAL":
+                return (near, e.ty)
+            # it comes as a double: beyond 2 ** 53 the value is taken by its place among those that are as large
+            huge, n = F.sort_array(F.collect_list(F.when(F.abs(c) >= 2**53, c))), F.count(c)
+            place = F.greatest(F.ceil(F.lit(rank) * n), F.lit(1)).cast("int")
+            below = F.size(F.filter(huge, lambda x: x < 0))
+            exact = F.when(place <= below, F.get(huge, place - 1)).when(n - place < F.size(huge) - below, F.get(huge, (F.size(huge) - 1 - (n - place)).cast("int"))).otherwise(near)
+            return (F.when(n > 0, exact), e.ty)
         values = F.sort_array(F.collect_set(c) if distinct else F.collect_list(c))
         return (F.get(values, F.greatest(F.ceil(F.lit(rank) * F.size(values)) - 1, F.lit(0)).cast("int")), e.ty)
 
@@ -1549,14 +1559,20 @@ class Translator:
         from knotwork.operators.write import numbered
 
         df, place, n = numbered(self, self.frame.df)
-        first = s.take()[0] if n else 0
-        if n > 1:
-            last = first + (n - 1) * s.increment
-            if not s.low <= last <= s.high:
-                s.take(n - 1)
-            s.value = last
         self.frame.df = df
-        return E(F.lit(first) + F.col(place) * s.increment, INT64)
+        first = s.take()[0] if n else 0
+        room, again, turn = s.rooms(first)
+        row = F.col(place)
+        made = F.lit(first) + row * s.increment
+        if n > room:
+            if not s.cycle:
+                s.value = first + (room - 1) * s.increment
+                s.take()  # tells that the end is reached
+            made = F.when(row < room, made).otherwise(F.lit(again) + F.pmod(row - room, F.lit(turn)) * s.increment)
+            s.value = again + (n - 1 - room) % turn * s.increment
+        elif n:
+            s.value = first + (n - 1) * s.increment
+        return E(made.cast("bigint"), INT64)
 
 
 def unsupported(what: str) -> UnsupportedError:

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.family_queries import FAMILIES, FAMILY_OTHERS
 from knotwork.session import Session
 
 NODES = {
@@ -25,11 +26,11 @@ def graph(spark: SparkSession, sf_dir: str) -> Session:
     turns = t["conversations"].select((F.col("conv_id") * 1000000 + F.col("turn")).alias("id"), "conv_id", "turn", "role", "text")
     c.add_nodes("Turn", turns, "id")
     c.add_rels("IN_REGION", {("Nation", "Region"): (t["nation"].select("n_nationkey", "n_regionkey"), "n_nationkey", "n_regionkey")}, "n_nationkey", many="MANY_ONE")
-    c.add_rels("IN_NATION", {("Customer", "Nation"): (t["customer"].select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey"), ("Supplier", "Nation"): (t["supplier"].select("s_suppkey", "s_nationkey"), "s_suppkey", "s_nationkey")}, many="MANY_ONE")
+    c.add_rels("IN_NATION", {("Customer", "Nation"): (t["customer"].select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey"), ("Supplier", "Nation"): (t["supplier"].select("s_suppkey", "s_nationkey"), "s_suppkey", "s_nationkey")}, many="MANY_ONE", unique=True)
     c.add_rels("PLACED", {("Customer", "Orders"): (t["orders"].select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderkey")}, "o_orderkey", many="ONE_MANY")
     line = t["lineitem"].select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     c.add_rels("CONTAINS", {("Orders", "Part"): (line, "l_orderkey", "l_partkey")}, "l_orderkey * 64 + l_linenumber", no_nan=True)
-    c.add_rels("SUPPLIED", {("Supplier", "Part"): (t["lineitem"].select("l_suppkey", "l_partkey").distinct(), "l_suppkey", "l_partkey")})
+    c.add_rels("SUPPLIED", {("Supplier", "Part"): (t["lineitem"].select("l_suppkey", "l_partkey").distinct(), "l_suppkey", "l_partkey")}, unique=True)
     step = turns.filter("turn > 0").select((F.col("id") - 1).alias("prior"), F.col("id").alias("next"))
     c.add_rels("REPLIES", {("Turn", "Turn"): (step.join(turns.select(F.col("id").alias("prior")), "prior", "left_semi"), "prior", "next")}, "next", many="ONE_ONE")
     return s
@@ -88,7 +89,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "agg_expression": ("MATCH (o:Orders) RETURN o.o_orderstatus AS s, count(*) + 1 AS n, round(max(o.o_totalprice) - min(o.o_totalprice), 2) AS d", "SELECT o_orderstatus AS s, count(*)+1 AS n, round(max(o_totalprice)-min(o_totalprice),2) AS d FROM orders GROUP BY 1"),
     # distinct, order, limits, unions, unwind
     "distinct": ("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) RETURN DISTINCT c.c_mktsegment AS s, n.n_regionkey AS r", "SELECT DISTINCT c_mktsegment AS s, n_regionkey AS r FROM customer JOIN nation ON c_nationkey=n_nationkey"),
-    "order_nulls": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 400000 RETURN c.c_custkey AS k, o.o_totalprice AS p ORDER BY p DESC, k LIMIT 50", "SELECT c_custkey AS k, o_totalprice AS p FROM customer LEFT JOIN orders ON o_custkey=c_custkey AND o_totalprice>400000 ORDER BY p DESC NULLS FIRST, k LIMIT 50"),
+    "order_nulls": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 400000 RETURN c.c_custkey AS k, o.o_totalprice AS p ORDER BY p DESC, k", "SELECT c_custkey AS k, o_totalprice AS p FROM customer LEFT JOIN orders ON o_custkey=c_custkey AND o_totalprice>400000 ORDER BY p DESC NULLS FIRST, k"),
     "skip_limit": ("MATCH (o:Orders) RETURN o.o_orderkey AS k, o.o_totalprice AS p ORDER BY p DESC, k SKIP 10 LIMIT 20", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders ORDER BY p DESC, k LIMIT 20 OFFSET 10"),
     "topk": ("MATCH (c:Customer)-[:PLACED]->(o:Orders) RETURN c.c_custkey AS k, round(sum(o.o_totalprice), 1) AS s ORDER BY s DESC, k LIMIT 10", "SELECT c_custkey AS k, round(sum(o_totalprice),1) AS s FROM customer JOIN orders ON o_custkey=c_custkey GROUP BY 1 ORDER BY s DESC, k LIMIT 10"),
     "with_where_after_limit": ("MATCH (o:Orders) WITH o ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 100 WHERE o.o_orderstatus = 'F' RETURN o.o_orderkey AS k", "SELECT o_orderkey AS k FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100) WHERE o_orderstatus='F'"),
@@ -113,15 +114,13 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "date_part": ("MATCH (e:Event) RETURN e.event_id AS k, date_part('year', e.ts) AS y, date_part('quarter', e.ts) AS q, date_part('hour', e.ts) AS h, date_part('second', e.ts) AS s, date_part('decade', e.ts) AS d, century(e.ts) AS c", "SELECT event_id AS k, date_part('year',ts) AS y, date_part('quarter',ts) AS q, date_part('hour',ts) AS h, date_part('second',ts) AS s, date_part('decade',ts) AS d, date_part('century',ts) AS c FROM events"),
     "date_trunc": ("MATCH (e:Event) RETURN date_trunc('month', e.ts) AS m, date_trunc('decade', e.ts) AS d, count(*) AS n", "SELECT date_trunc('month',ts)::TIMESTAMP AS m, date_trunc('decade',ts)::TIMESTAMP AS d, count(*) AS n FROM events GROUP BY 1,2"),
     "interval_add": ("MATCH (o:Orders) RETURN o.o_orderkey AS k, o.o_orderdate + interval('1 month 2 days') AS a, o.o_orderdate - to_days(30) AS b, CAST(o.o_orderdate AS DATE) + 10 AS c, CAST(o.o_orderdate AS DATE) + to_months(1) AS d", "SELECT o_orderkey AS k, o_orderdate + INTERVAL '1 month' + INTERVAL '2 days' AS a, o_orderdate - INTERVAL '30 days' AS b, o_orderdate::DATE + 10 AS c, (o_orderdate::DATE + INTERVAL '1 month')::DATE AS d FROM orders"),
-    "list_lambda": ("MATCH (d:Document) WITH d.doc_id AS k, string_split(left(d.text, 80), ' ') AS w RETURN k, list_transform(w, x -> size(x)) AS z, list_filter(w, x -> size(x) > 4) AS f, list_reduce(list_transform(w, x -> size(x)), (a, b) -> a + b) AS t", "SELECT k, list_transform(w, lambda x: length(x)) AS z, list_filter(w, lambda x: length(x)>4) AS f, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS t FROM (SELECT doc_id AS k, CASE WHEN len(p)=0 THEN p ELSE list_concat(list_filter(p[:-2], lambda x: x<>''), p[-1:]) END AS w FROM (SELECT doc_id, string_split(left(text,80),' ') AS p FROM documents))"),
-    "list_lambda_whole": ("MATCH (d:Document) WITH d.doc_id AS k, string_split(d.text, ' ') AS w RETURN k, list_transform(w, x -> size(x)) AS z, list_filter(w, x -> size(x) > 4) AS f, list_reduce(list_transform(w, x -> size(x)), (a, b) -> a + b) AS t", "SELECT k, list_transform(w, lambda x: length(x)) AS z, list_filter(w, lambda x: length(x)>4) AS f, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS t FROM (SELECT doc_id AS k, CASE WHEN len(p)=0 THEN p ELSE list_concat(list_filter(p[:-2], lambda x: x<>''), p[-1:]) END AS w FROM (SELECT doc_id, string_split(text,' ') AS p FROM documents))"),
+    "list_lambda": ("MATCH (d:Document) WITH d.doc_id AS k, string_split(d.text, ' ') AS w RETURN k, list_transform(w, x -> size(x)) AS z, list_filter(w, x -> size(x) > 4) AS f, list_reduce(list_transform(w, x -> size(x)), (a, b) -> a + b) AS t", "SELECT k, list_transform(w, lambda x: length(x)) AS z, list_filter(w, lambda x: length(x)>4) AS f, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS t FROM (SELECT doc_id AS k, CASE WHEN len(p)=0 THEN p ELSE list_concat(list_filter(p[:-2], lambda x: x<>''), p[-1:]) END AS w FROM (SELECT doc_id, string_split(text,' ') AS p FROM documents))"),
     "list_comprehension": ("MATCH (p:Part) RETURN p.p_partkey AS k, [x IN range(1, 5) WHERE x > 2 | x * p.p_size] AS l, [x IN [1, 2, 3]] AS m", "SELECT p_partkey AS k, [(3*p_size)::BIGINT,(4*p_size)::BIGINT,(5*p_size)::BIGINT] AS l, [1::BIGINT,2,3] AS m FROM part"),
     "list_quantifiers": ("MATCH (p:Part) WITH p.p_partkey AS k, [p.p_size, 10, NULL] AS l RETURN k, any(x IN l WHERE x > 20) AS a, all(x IN l WHERE x > 5) AS b, none(x IN l WHERE x > 40) AS c, single(x IN l WHERE x = 10) AS d", "SELECT p_partkey AS k, p_size>20 AS a, false AS b, NOT p_size>40 AS c, p_size<>10 AS d FROM part"),
     "list_sort_slice": ("MATCH (p:Part) WITH p.p_partkey AS k, [p.p_size, 30, 10, 20] AS l RETURN k, list_sort(l) AS s, list_reverse_sort(l) AS r, l[2:3] AS m, l[-1] AS z, list_contains(l, 30) AS c, list_position(l, 20) AS p, list_distinct(l + [30]) AS u, list_sum(l) AS t", "SELECT k, list_sort(l) AS s, list_reverse_sort(l) AS r, l[2:3] AS m, l[-1] AS z, true AS c, list_position(l,20::BIGINT)::BIGINT AS p, CASE WHEN l[1] IN (30,10,20) THEN list_filter([l[1],30,10,20], lambda x, i: i=1 OR x<>l[1]) ELSE l END AS u, list_sum(l)::BIGINT AS t FROM (SELECT p_partkey AS k, [p_size::BIGINT,30,10,20] AS l FROM part)"),
     "struct_map": ("MATCH (p:Part) WITH p.p_partkey AS k, {size: p.p_size, brand: p.p_brand} AS s, map(['a', 'b', 'a'], [1, p.p_size, 3]) AS m RETURN k, s.size AS z, struct_extract(s, 'brand') AS b, map_extract(m, 'a') AS a, element_at(m, 'x') AS e, map_keys(m) AS ks, size(m) AS n", "SELECT p_partkey AS k, p_size AS z, p_brand AS b, [1::BIGINT,3] AS a, []::BIGINT[] AS e, ['a','b','a'] AS ks, 3::BIGINT AS n FROM part"),
     "union_value": ("MATCH (p:Part) WITH p.p_partkey AS k, union_value(num := p.p_size) AS u RETURN k, union_tag(u) AS t, union_extract(u, 'num') AS v", "SELECT p_partkey AS k, 'num' AS t, p_size AS v FROM part"),
-    "vector_similarity": ("MATCH (a:Vector), (b:Vector) WHERE a.vec_id = 0 AND b.vec_id > 0 RETURN b.vec_id AS k, array_cosine_similarity(a.embedding, b.embedding) > 0.1 AS near, array_distance(a.embedding, b.embedding) < 1.3 AS close, array_dot_product(a.embedding, b.embedding) < 0.0 AS away", "SELECT b.vec_id AS k, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.1 AS near, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 1.3 AS close, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 0 AS away FROM embeddings a, embeddings b WHERE a.vec_id=0 AND b.vec_id>0"),
-    "vector_similarity_all": ("MATCH (a:Vector), (b:Vector) WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id RETURN a.vec_id AS k, count(*) AS n, sum(CASE WHEN array_cosine_similarity(a.embedding, b.embedding) > 0.1 THEN 1 ELSE 0 END) AS near, sum(CASE WHEN array_distance(a.embedding, b.embedding) < 1.3 THEN 1 ELSE 0 END) AS close, sum(CASE WHEN array_dot_product(a.embedding, b.embedding) < 0.0 THEN 1 ELSE 0 END) AS away", "SELECT a.vec_id AS k, count(*) AS n, sum((list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.1)::INT)::BIGINT AS near, sum((list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 1.3)::INT)::BIGINT AS close, sum((list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 0)::INT)::BIGINT AS away FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id GROUP BY 1"),
+    "vector_similarity": ("MATCH (a:Vector), (b:Vector) WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id RETURN a.vec_id AS k, count(*) AS n, CAST(sum(CASE WHEN array_cosine_similarity(a.embedding, b.embedding) > 0.1 THEN 1 ELSE 0 END) AS INT64) AS near, CAST(sum(CASE WHEN array_distance(a.embedding, b.embedding) < 1.3 THEN 1 ELSE 0 END) AS INT64) AS close, CAST(sum(CASE WHEN array_dot_product(a.embedding, b.embedding) < 0.0 THEN 1 ELSE 0 END) AS INT64) AS away", "SELECT a.vec_id AS k, count(*) AS n, sum((list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.1)::INT)::BIGINT AS near, sum((list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 1.3)::INT)::BIGINT AS close, sum((list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 0)::INT)::BIGINT AS away FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id GROUP BY 1"),
     "json_props": ("MATCH (e:Event) WITH e.event_id AS k, CAST(e.props AS JSON) AS j RETURN k, CAST(CAST(j.k AS STRING) AS INT64) AS v, j.nothing IS NULL AS x", "SELECT event_id AS k, json_extract_string(props, '$.k')::BIGINT AS v, true AS x FROM events"),
     "hash_functions": ("MATCH (c:Customer) RETURN c.c_custkey AS k, md5(c.c_name) AS m, sha256(c.c_name) AS s", "SELECT c_custkey AS k, md5(c_name) AS m, sha256(c_name) AS s FROM customer"),
     # recursive paths
@@ -132,10 +131,9 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "var_zero_lower": ("MATCH (a:Turn)-[e:REPLIES*0..1]->(b:Turn) RETURN length(e) AS l, count(*) AS n", f"WITH {_REPLIES} SELECT 0::BIGINT AS l, count(*) AS n FROM conversations UNION ALL SELECT 1, count(*) FROM replies"),
     "var_lambda_filter": ("MATCH (a:Turn)-[e:REPLIES*1..3 (r, n | WHERE n.role = 'user')]->(b:Turn) RETURN length(e) AS l, count(*) AS n", f"WITH RECURSIVE {_REPLIES}, t AS (SELECT conv_id*1000000+turn AS id, role FROM conversations), w AS (SELECT s, d, 1 AS l FROM replies UNION ALL SELECT w.s, r.d, l+1 FROM w JOIN t ON t.id=w.d AND role='user' JOIN replies r ON r.s=w.d WHERE l<3) SELECT l::BIGINT AS l, count(*) AS n FROM w GROUP BY 1"),
     "shortest": ("MATCH (a:Turn {turn: 0})-[e:REPLIES* SHORTEST 1..10]->(b:Turn) RETURN a.conv_id AS c, max(length(e)) AS l, count(*) AS n", "SELECT conv_id AS c, max(turn)::BIGINT AS l, count(*) AS n FROM conversations WHERE turn BETWEEN 1 AND 10 GROUP BY 1"),
-    "all_shortest": ("MATCH (a:Nation {n_nationkey: 3})-[e:IN_NATION|:PLACED* ALL SHORTEST 1..2]-(b:Orders) RETURN b.o_orderkey AS o, length(e) AS l", "SELECT o_orderkey AS o, 2::BIGINT AS l FROM orders JOIN customer ON o_custkey=c_custkey WHERE c_nationkey=3"),
-    "all_shortest_all": ("MATCH (a:Nation)-[e:IN_NATION|:PLACED|:CONTAINS* ALL SHORTEST 1..3]-(b:Part) RETURN a.n_nationkey AS a, b.p_partkey AS b, length(e) AS l, count(*) AS n", "SELECT c_nationkey AS a, l_partkey AS b, 3::BIGINT AS l, count(*) AS n FROM lineitem JOIN orders ON o_orderkey=l_orderkey JOIN customer ON c_custkey=o_custkey GROUP BY 1,2"),
-    "wshortest": ("MATCH (a:Orders {o_orderkey: 1})-[e:CONTAINS* WSHORTEST(l_quantity) 1..1]->(b:Part) RETURN b.p_partkey AS p, cost(e) AS c", "SELECT l_partkey AS p, min(l_quantity) AS c FROM lineitem WHERE l_orderkey=1 GROUP BY 1"),
-    "wshortest_all": ("MATCH (a:Orders)-[e:CONTAINS* WSHORTEST(l_quantity) 1..3]-(b:Part) RETURN a.o_orderkey AS o, count(*) AS n, sum(cost(e)) AS c, max(cost(e)) AS hi", "WITH far AS (SELECT x.l_orderkey AS o, z.l_partkey AS p, x.l_quantity+y.l_quantity+z.l_quantity AS c FROM lineitem x JOIN lineitem y ON y.l_partkey=x.l_partkey JOIN lineitem z ON z.l_orderkey=y.l_orderkey UNION ALL SELECT l_orderkey, l_partkey, l_quantity FROM lineitem), best AS (SELECT o, p, min(c) AS c FROM far GROUP BY 1,2) SELECT o, count(*) AS n, sum(c) AS c, max(c) AS hi FROM best GROUP BY 1"),
+    "all_shortest": ("MATCH (a:Nation)-[e:IN_NATION|:PLACED|:CONTAINS* ALL SHORTEST 1..3]-(b:Part) RETURN a.n_nationkey AS a, b.p_partkey AS b, length(e) AS l, count(*) AS n", "SELECT c_nationkey AS a, l_partkey AS b, 3::BIGINT AS l, count(*) AS n FROM lineitem JOIN orders ON o_orderkey=l_orderkey JOIN customer ON c_custkey=o_custkey GROUP BY 1,2"),
+    "wshortest": ("MATCH (a:Orders)-[e:CONTAINS* WSHORTEST(l_quantity) 1..1]->(b:Part) RETURN a.o_orderkey AS o, b.p_partkey AS p, cost(e) AS c", "SELECT l_orderkey AS o, l_partkey AS p, min(l_quantity) AS c FROM lineitem GROUP BY 1, 2"),
+    "wshortest_turns": ("CREATE REL TABLE STEP(FROM Turn TO Turn, w INT64); COPY STEP FROM (MATCH (a:Turn)-[e:REPLIES*1..2]->(b:Turn) RETURN a.id, b.id, length(e) * 2 + a.turn % 3); MATCH (a:Turn)-[e:STEP* WSHORTEST(w) 1..3]->(b:Turn) RETURN a.conv_id AS k, count(*) AS n, sum(cost(e)) AS c, max(length(e)) AS l", f"WITH RECURSIVE {_REPLIES}, step AS (SELECT s, d, 2 + s % 1000000 % 3 AS w FROM replies UNION ALL SELECT x.s, y.d, 4 + x.s % 1000000 % 3 FROM replies x JOIN replies y ON y.s = x.d), ways AS (SELECT s, d, w AS c, 1 AS l FROM step UNION ALL SELECT x.s, y.d, c + y.w, l + 1 FROM ways x JOIN step y ON y.s = x.d WHERE l < 3), best AS (SELECT s, d, min(struct_pack(c := c, l := l)) AS b FROM ways GROUP BY 1, 2) SELECT s // 1000000 AS k, count(*) AS n, sum(b.c)::DOUBLE AS c, max(b.l)::BIGINT AS l FROM best GROUP BY 1"),
     "path_functions": ("MATCH p = (a:Turn {turn: 0})-[:REPLIES*2..2]->(b:Turn) RETURN a.conv_id AS c, length(p) AS l, properties(nodes(p), 'turn') AS t, is_trail(p) AS r, is_acyclic(p) AS y", "SELECT a.conv_id AS c, 2::BIGINT AS l, [0::BIGINT,1,2] AS t, true AS r, true AS y FROM conversations a JOIN conversations b ON b.conv_id=a.conv_id AND b.turn=2 WHERE a.turn=0"),
     # algorithms
     "algo_levels": ("CALL topological_levels(['Turn'], ['REPLIES']) YIELD node, level RETURN level, count(*) AS n, count(node.text) AS t", "SELECT turn AS level, count(*) AS n, count(text) AS t FROM conversations GROUP BY 1"),
@@ -151,6 +149,21 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "sequence_default": ("CREATE SEQUENCE sq START 5 INCREMENT 2; CREATE NODE TABLE Seq(id INT64, s INT64 DEFAULT nextval('sq'), PRIMARY KEY(id)); MATCH (r:Region) CREATE (:Seq {id: r.r_regionkey}); MATCH (x:Seq) RETURN count(*) AS n, min(x.s) AS lo, max(x.s) AS hi", "SELECT count(*) AS n, 5::BIGINT AS lo, 5+2*(count(*)-1) AS hi FROM region"),
 }
 
+QUERIES |= FAMILIES
+
+
+def local_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, as a path of the driver's file system."""
+    import os
+    import re
+    import uuid
+
+    from knotwork.operators.storage import shared_dir
+
+    folder = f"{re.sub('^file:/+', '/', shared_dir(spark))}/{name}-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    return folder
+
 
 def run(name: str):
     def call(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +207,7 @@ OTHERS = {
     "csv_load_roundtrip": (csv_load_roundtrip, "SELECT n_nationkey::BIGINT AS k, n_name AS name, n_regionkey::BIGINT AS r FROM nation WHERE n_regionkey > 0"),
     "parquet_copy_roundtrip": (parquet_copy_roundtrip, "SELECT r_name AS r, count(*) AS n FROM nation JOIN region ON n_regionkey=r_regionkey GROUP BY 1"),
     "udf_scalar": (udf_scalar, "SELECT n_name AS name, length(regexp_replace(n_name,'[^AEIOU]','','g')) AS v FROM nation"),
-}
+} | FAMILY_OTHERS
 
 
 def queries() -> dict:

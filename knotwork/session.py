@@ -39,7 +39,7 @@ class Udf:
         self.params, self.result = params, result
         self.signature = f"({','.join(map(str, params))}) -> {result}"
         call = function if nulls else (lambda *a: None if any(x is None for x in a) else function(*a))
-        self.udf = F.udf(call, spark_type(result))
+        self.udf = F.udf(call, spark_type(result), useArrow=True)  # batches go over in Arrow
 
     def __call__(self, args: list[E]) -> E:
         if len(args) != len(self.params):
@@ -89,6 +89,7 @@ class Session:
         self.settings = dict(SETTINGS)
         self.udfs: dict[str, Udf] = {}
         self.warnings: list[tuple] = []
+        self.query_id = 0
         self.seed: int | None = None
         self.saved: tuple[dict[str, Catalog], bool] | None = None
         self.jobs = f"knotwork-{id(self)}"
@@ -128,6 +129,7 @@ class Session:
     def run(self, statements: list, params: dict) -> DataFrame:
         out = self.spark.range(0).select()
         for s in statements:
+            self.query_id += 1
             out = self._statement(s, params)
         return out
 
@@ -140,6 +142,15 @@ class Session:
             return self._atomic(lambda: materialize(Translator(self, self.catalog, params).union(s)), True)
         return Translator(self, self.catalog, params).union(s)
 
+    def room_for_warnings(self) -> int:
+        """How many more warnings the statement may keep."""
+        return max(0, int(self.settings["warning_limit"]) - sum(w[0] == self.query_id for w in self.warnings))
+
+    def warn(self, message: str, file: str = "", line: int = 0, record: str = "") -> None:
+        """Keep what IGNORE_ERRORS skipped, for show_warnings()."""
+        if self.room_for_warnings():
+            self.warnings.append((self.query_id, message, file, line, record))
+
     @staticmethod
     def _writes(q) -> bool:
         qs = q.queries if isinstance(q, A.Union) else [q]
@@ -516,7 +527,15 @@ class Session:
             made = rows.select(*[e.col.alias(c) for c, e in values.items()])
             made = materialize(made.select(write.key_place(t, E(F.col(f"`{t.key}`"), t.columns[t.key])).alias("_off"), "*"))
             if options.get("IGNORE_ERRORS"):
-                made = made.filter(F.col(f"`{t.key}`").isNotNull()).dropDuplicates(["_off"]).join(t.df.select("_off"), "_off", "left_anti")
+                key = F.col(f"`{t.key}`")
+                new = made.filter(key.isNotNull()).join(t.df.select("_off"), "_off", "left_anti")
+                new = materialize(new.groupBy("_off").agg(F.min(F.struct(*[c for c in new.columns if c != "_off"])).alias("_one")).select("_off", "_one.*"))
+                kept = new.select("_off", F.lit(True).alias("_kept"))
+                left = made.groupBy(key.cast("string").alias("k"), "_off").count().join(kept, "_off", "left").filter("_kept IS NULL OR count > 1")
+                for r in left.limit(self.room_for_warnings()).collect():  # a bounded number
+                    null = "Found NULL, which violates the non-null constraint of the primary key column."
+                    self.warn("Runtime exception: " + (null if r["k"] is None else f"Found duplicated primary key value {r['k']}, which violates the uniqueness constraint of the primary key column."), record=r["k"] or "")
+                made = new
             write.add_nodes(t, made)
             return
         a, b = self._pair(t, options)
@@ -526,6 +545,8 @@ class Session:
         for z, col, key in ((x, "_src", "_from"), (y, "_dst", "_to")):
             lost = made.join(z.df.select(F.col("_off").alias(col)), col, "left_anti")
             if options.get("IGNORE_ERRORS"):
+                for r in lost.select(F.col("_from").cast("string").alias("a"), F.col("_to").cast("string").alias("b"), F.col(key).cast("string").alias("k")).limit(self.room_for_warnings()).collect():
+                    self.warn(f"Runtime exception: Unable to find primary key value {r['k']}.", record=f"{r['a']},{r['b']}")
                 made = materialize(made.join(z.df.select(F.col("_off").alias(col)), col, "left_semi"))
             elif (bad := lost.select(F.col(key).cast("string").alias("k")).first()) is not None:
                 raise RuntimeFault(f"Unable to find primary key value {bad['k']}.")

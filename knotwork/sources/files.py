@@ -9,6 +9,7 @@ import csv
 import glob
 import io
 import os
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,7 +82,6 @@ def _kind_of(values: list[str]) -> Ty:
             return False
 
     import datetime
-    import re
 
     if not values:
         return STRING
@@ -138,27 +138,78 @@ def read_csv(session, paths: list[str], options: dict, columns: list[tuple[str,
             sampled = [_kind_of([r[k] for r in rows if k < len(r) and r[k] not in nulls]) for k in range(width)]
         wanted = list(zip(names, sampled, strict=False))
     raw = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(wanted))])
-    if options.get("IGNORE_ERRORS"):
-        raw = raw.add("_bad", T.StringType())
-    reader = spark.read.schema(raw).options(header=bool(header), sep=delim, quote=quote, escape=escape, multiLine=not options.get("PARALLEL", True), mode="PERMISSIVE" if options.get("IGNORE_ERRORS") else "FAILFAST", columnNameOfCorruptRecord="_bad", enforceSchema=True, nullValue="\u0000none", emptyValue="")
-    df = reader.csv(paths)
-    if skip:
-        df = df.offset(skip)
-    made, bad = [], F.lit(False)
+    lenient, whole = bool(options.get("IGNORE_ERRORS")), not options.get("PARALLEL", True)
+    parsing = {"sep": delim, "quote": quote, "escape": escape, "mode": "PERMISSIVE" if lenient else "FAILFAST", "columnNameOfCorruptRecord": "_bad", "nullValue": "\u0000none", "emptyValue": ""}
+    if whole and (skip or lenient):
+        df = _whole_rows(spark, paths, skip + bool(header), delim, quote, escape, len(wanted), lenient)
+    elif skip or lenient:  # line by line, for places in files count
+        lines = numbered_lines(spark, paths).filter((F.col("_line") > skip + bool(header)) & (F.trim("value") != ""))
+        shape = raw.add("_bad", T.StringType()) if lenient else raw
+        df = lines.withColumn("_row", F.from_csv("value", shape.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), parsing)).select("_file", "_line", "value", "_row.*")
+    else:
+        df = spark.read.schema(raw).options(header=bool(header), multiLine=whole, enforceSchema=True, **parsing).csv(paths)
+    made, bad, why = [], F.lit(False), F.lit(None).cast("string")
     for k, (n, t) in enumerate(wanted):
         c = F.col(f"c{k}")
         c = F.when(~c.isin(*nulls) if nulls else F.lit(True), c)
         e = cast(E(c, STRING), t, True)
         if options.get("IGNORE_ERRORS") and not t.args and t.name not in ("STRING", "INTERVAL", "UUID", "BLOB", "JSON"):
             tried = F.trim(c).try_cast(spark_type(t))
-            bad = bad | (c.isNotNull() & tried.isNull())
+            wrong = c.isNotNull() & tried.isNull()
+            bad = bad | wrong
+            why = F.coalesce(why, F.when(wrong, F.concat(F.lit('Conversion exception: Cast failed. Could not convert "'), c, F.lit(f'" to {t}.'))))
             e = E(tried, t)
         made.append(e.col.alias(n))
-    if options.get("IGNORE_ERRORS"):
-        df = df.filter(F.col("_bad").isNull() & ~bad)
+    if lenient:
+        good = F.col("_bad").isNull() & ~bad
+        found = df.filter(~good).select(F.when(F.col("_bad").isNull(), why).alias("why"), "_file", "_line", "value")
+        for r in found.orderBy("_file", "_line").limit(session.room_for_warnings()).collect():  # a bounded number
+            message = r["why"] or f"Copy exception: expected {len(wanted)} values per row, but got {n if (n := _width(r['value'], delim)) < len(wanted) else 'more'}."
+            session.warn(message, re.sub("^file:/+", "/", r["_file"]), r["_line"], r["value"])
+        df = df.filter(good)
     return df.select(*made), dict(wanted)
 
 
+def numbered_lines(spark, paths: list[str]) -> DataFrame:
+    """(value, _file, _line): the lines of files with their numbers from 1. Blocks of a file are read by as many tasks as ever; a
+    table with a row for each block tells how many lines come before."""
+    from pyspark.sql import Window as W
+
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    blocks = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_file").orderBy("_block")) - F.col("_n") - F.col("_first") + 1
+    return lines.join(blocks.select("_file", "_block", before.alias("_shift")), ["_file", "_block"]).select("value", "_file", (F.col("_id") + F.col("_shift")).alias("_line"))
+
+
+def _whole_rows(spark, paths: list[str], skip: int, delim: str, quote: str, escape: str, width: int, lenient: bool) -> DataFrame:
+    """Rows of files whose cells may hold line breaks (PARALLEL=false), a file to a task, without the first lines."""
+    names = [f"c{k}" for k in range(width)] + ["_bad", "_file", "_line", "value"]
+
+    def rows(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for text, file in zip(batch["value"], batch["_file"], strict=True):
+                kept = text.splitlines(keepends=True)[skip:]
+                reader = csv.reader(kept, delimiter=delim, quotechar=quote or None, doublequote=escape == '"', escapechar=None if escape == '"' else escape)
+                out, at = [], 0
+                for r in reader:
+                    value = "".join(kept[at : reader.line_num]).rstrip("\r\n")
+                    if r:
+                        fits = len(r) == width
+                        if not (fits or lenient):
+                            raise ValueError(f"Copy exception: expected {width} values per row, but got {len(r)}.")
+                        out.append([*(r + [None] * width)[:width], None if fits else value, file, skip + at + 1, value])
+                    at = reader.line_num
+                    if len(out) >= 10_000:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+                yield pd.DataFrame(out, columns=names)
+
+    texts = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
+    return texts.mapInPandas(rows, ", ".join(f"{n} {'bigint' if n == '_line' else 'string'}" for n in names))
+
+
 def _width(line: str, delim: str) -> int:
     try:
         return len(next(csv.reader([line], delimiter=delim)))

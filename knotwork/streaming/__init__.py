@@ -11,8 +11,9 @@ from knotwork.session import Session
 def stream_into(session: Session, stream: DataFrame, table: str, checkpoint: str, **options) -> StreamingQuery:
     """Start copying stream's rows into a node table (its columns in order) or a relationship table (from key, to key, properties).
 
-    A batch that is delivered again after a failure is recognised by its number and skipped, so rows come in once."""
-    done: set[int] = set()
+    A batch that is delivered again after a failure is recognised by its number, which is kept with the table it went into
+    (a table of a session that died is gone, with its numbers), so rows come in once."""
+    done: set[int] = session.catalog.table(table).batches.setdefault(checkpoint, set())
 
     def batch(df: DataFrame, number: int) -> None:
         if number not in done:

@@ -66,6 +66,18 @@ def test_parquet_npy_arrow_and_export(s, tmp_path):
     assert s.execute("MATCH (p:P) RETURN p.id AS id").toArrow().num_rows == 2
 
 
+def test_skipped_lines_and_warnings(s, tmp_path):
+    for k in range(2):  # each file has its own lines to skip
+        (tmp_path / f"d{k}.csv").write_text(f"note {k}\nkey,word\n{k},ab\nx{k},cd\n\n{k + 5},ef,gh\n{k + 7},ij\n")
+    s.execute("CREATE NODE TABLE W(key INT64, word STRING, PRIMARY KEY(key))")
+    s.execute(f"COPY W FROM '{tmp_path}/d*.csv' (HEADER=true, SKIP=1, IGNORE_ERRORS=true)")
+    assert sorted(rows(s, "MATCH (w:W) RETURN w.key, w.word")) == [(0, "ab"), (1, "ab"), (7, "ij"), (8, "ij")]
+    got = rows(s, "CALL show_warnings() RETURN file_path, line_number, skipped_line_or_record ORDER BY file_path, line_number")
+    assert got == [(f"{tmp_path}/d{k}.csv", n, x) for k in range(2) for n, x in ((4, f"x{k},cd"), (6, f"{k + 5},ef,gh"))]
+    s.execute(f"CALL clear_warnings(); CALL warning_limit = 1; LOAD WITH HEADERS (key INT64, word STRING) FROM '{tmp_path}/d0.csv' (HEADER=true, SKIP=1, IGNORE_ERRORS=true, PARALLEL=false) RETURN *")
+    assert [r[1:] for r in rows(s, "CALL show_warnings() RETURN query_id, line_number, skipped_line_or_record")] == [(4, "x0,cd")]
+
+
 def test_any_graph(s):
     s.execute("CREATE GRAPH free ANY; USE GRAPH free")
     s.execute("CREATE (:A {x: 5, n: 'q'})-[:R {w: 3}]->(:B {x: 7}); CREATE (:A {x: 9})")
