@@ -4,7 +4,7 @@ A row's text is cut into segments at lines that begin with a known speaker marke
 a text without one is a segment. Each segment is observed by its marker and line features (length, number of lines, a
 question mark at the end); hidden are the roles. Counts over all conversations with known roles give emissions and
 transitions (those of held-out conversations, whose crc32 of the id is 0 modulo 5, are left out); pseudo-counts stand for
-what a marker means. Viterbi gives the likeliest roles, and each segment is rendered without its marker.
+what a marker means until the data say more. Viterbi gives the likeliest roles, and each segment is rendered without its marker.
 
 A conversation may be of any size. Segments are sorted by conversation, turn and place over all partitions and cut into
 chunks of at most CHUNK segments of one conversation. A chunk becomes the matrix of the best scores from any role before
@@ -12,14 +12,14 @@ it to any role at its end; Viterbi over a conversation's matrices fixes the role
 each chunk is decoded by itself. Only the matrices of a conversation, one for each CHUNK segments, meet in a task.
 
 Defined results: a null text counts as empty and is one empty segment. A null conv_id is a conversation of its own. Null
-turns come last; equal turns stay in the order read; repeated rows are turns like others. A role outside ROLES isn't
-learned from. Ties go to the role first in ROLES. Markup of the canonical form that stands in a text is broken up by a
-space. An empty table gives an empty result.
+turns come last; equal turns are ordered by a hash of text and role, so the order doesn't depend on how rows are read;
+repeated rows are turns like others. A role outside ROLES isn't learned from. Ties go to the role first in ROLES. Markup of
+the canonical form that stands in a text is broken up by a space. An empty table gives an empty result. A text may be of
+any length. Only the four named columns are read; others, whatever their names, don't matter.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -105,7 +105,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ordered(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """All segments in order, with their chunks, written to the shared folder."""
     given = turns[quoted(role)].cast("string") if role in turns.columns else F.lit(None).cast("string")
-    named = turns.select(turns[quoted(conv_id)].alias("conv_id"), turns[quoted(turn)].alias("turn"), F.monotonically_increasing_id().alias("place"), given.alias("role"), turns[quoted(text)].cast("string").alias("text"))
+    named = turns.select(turns[quoted(conv_id)].alias("conv_id"), turns[quoted(turn)].alias("turn"), F.xxhash64(turns[quoted(text)].cast("string"), given).alias("place"), given.alias("role"), turns[quoted(text)].cast("string").alias("text"))
     kind = {f.name: f.dataType.simpleString() for f in named.schema}
     schema = f"conv_id {kind['conv_id']}, turn {kind['turn']}, place long, segment int, role string, marker int, length int, lines int, asks int, text string"
     cut = named.mapInArrow(_cut, schema)
@@ -131,18 +131,22 @@ def fit(rows: DataFrame) -> dict:
     step, start = np.full((len(ROLES), len(ROLES)), 0.5), np.full(len(ROLES), 0.5)
     pairs = seen.filter("first OR prior IS NOT NULL").groupBy("first", "prior", "role").agg(F.count(F.lit(1)).alias("n")).collect()  # a few rows
     for r in pairs:
-        if r["first"]:  # a few of these are continuations cut by a partition's edge
+        if r["first"]:
             start[place[r["role"]]] += r["n"]
         elif r["prior"] in place:
             step[place[r["prior"]], place[r["role"]]] += r["n"]
-    # a marker's meaning outweighs what unmarked data say
-    emit["marker"] = np.maximum(emit["marker"], 1e-3)
+    # conversations that go on over a partition's edge were counted as begun there: a row or two for each partition tell
+    edge = rows.groupBy("part").agg(F.min(F.struct("chunk", "seq", "conv_id", "role")).alias("low"), F.max(F.struct("chunk", "seq", "conv_id", "role")).alias("high"))
+    edge = edge.withColumn("learn", F.coalesce(F.crc32(F.col("low.conv_id").cast("string").cast("binary")), F.lit(1)) % 5 != 0)
+    last = None
+    for r in sorted(edge.collect()):
+        if last is not None and last["conv_id"] == r["low"]["conv_id"] and r["learn"] and r["low"]["role"] in place:
+            start[place[r["low"]["role"]]] -= 1
+            if last["role"] in place:
+                step[place[last["role"]], place[r["low"]["role"]]] += 1
+        last = r["high"]
     log = lambda m: np.log(m / m.sum(axis=-1, keepdims=True))
-    marker = np.full((len(ROLES), 4), math.log(1e-3))
-    marker[:, 0] = 0.0
-    for k in range(len(ROLES)):
-        marker[k, k + 1] = math.log(MARKED)
-    return {"start": log(start), "step": log(step), "emit": {**{o: log(emit[o]) for o in OBSERVED if o != "marker"}, "marker": marker}}
+    return {"start": log(start), "step": log(step), "emit": {o: log(emit[o]) for o in OBSERVED}}
 
 
 def emissions(model: dict, codes: np.ndarray) -> np.ndarray:

@@ -10,8 +10,10 @@ Fitting takes at most about FIT_PER_LANG texts of each language, drawn by a hash
 Prediction covers every row and the whole text. Each language is fitted in a task of its own, over a bounded sample.
 
 Defined results: a null text or one without a letter gives `und`, score 0.0, rejected. Rows with a null language are
-predicted but not learned from. With nothing to learn from, all rows give `und`. Repeated rows count each. Ties between
-centroids go to the language first in code-point order. An empty table gives an empty result.
+predicted but not learned from, and so are rows with a null doc_id, which belong to neither side. With nothing to learn
+from, all rows give `und`. Repeated rows count each. Ties between centroids go to the language first in code-point order.
+An empty table gives an empty result. A text may be of any length: its n-grams are counted piece by piece, in DIMENSIONS
+slots. Input columns named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ _FOLD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def held_out(doc_id) -> F.Column:
+    """Whether a row is held out of what is learned; a null id is not, but isn't learned from either."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
@@ -79,7 +82,7 @@ def clusters(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nd
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_lang: int = FIT_PER_LANG) -> dict:
     """The model: idf and the centroids, their languages and radii; bounded by the number of languages."""
-    rows = docs.select(docs[quoted(doc_id)].alias("id"), docs[quoted(lang)].alias("lang"), docs[quoted(text)].alias("text")).filter(F.col("lang").isNotNull() & ~held_out(F.col("id")))
+    rows = docs.select(docs[quoted(doc_id)].alias("id"), docs[quoted(lang)].alias("lang"), docs[quoted(text)].alias("text")).filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = (F.xxhash64(F.lit("lang"), "id").bitwiseAND(F.lit(0xFFFFFF)) / float(1 << 24)) * F.col("n") < per_lang
     sample = rows.join(F.broadcast(counts), "lang").filter(draw)  # counts: a row for each language

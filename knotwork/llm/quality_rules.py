@@ -10,10 +10,10 @@ fixed cutoff takes part but GUARD, a least width for groups without spread. Most
 do are ordinary; so the repeat metrics (AMONG_REPEATS) have their fences over the documents that have any repeat.
 
 Defined results: a null text has no words; a document without words fails the base rule n_words < 50. Null languages
-and sources form groups of their own. A metric with under MIN_GROUP values in a group takes the threshold of the language,
-and one with under MIN_GROUP values in the language that of all documents; a repeat metric with under MIN_GROUP values
-even there has no threshold (null), for a few documents with repeats don't tell what is ordinary. Rows aren't merged: a repeated row is counted and judged like any other.
-An empty table gives an empty result. Input columns that have the name of an added one are replaced by it.
+and sources form groups of their own. A group's fence is drawn towards its language's, and that towards the one of all
+documents, by the number of values: a fence over n values weighs n against PRIOR. The fence of a repeat metric over all
+documents is drawn towards 1, its greatest value, likewise. Rows aren't merged: a repeated row is counted and judged like
+any other. An empty table gives an empty result. A text may be of any length. Input columns that have the name of an added one are replaced by it.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from knotwork.llm.common import broadcast_up_to, fresh, map_columns, materialize
 
 #: Relative error of the sketches.
 ERROR = 0.01
-#: Values of a metric that a group needs to have a threshold of its own.
-MIN_GROUP = 100
+#: How many values a wider group's fence counts for against a group's own.
+PRIOR = 100
 #: A value is an outlier above q75 + FENCE * (q75 - q25) ...
 FENCE = 4.0
 #: ... and at least GUARD, and twice the sketch's error, above q75, for groups whose values are all alike.
@@ -149,10 +149,13 @@ def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source") -
     own, by_lang, every = fences(["lang", "source"], "a"), fences(["lang"], "b"), fences([], "c")
     by_lang = by_lang.withColumnRenamed("lang", "lang_b")
     table = own.join(by_lang, F.col("lang").eqNullSafe(F.col("lang_b")), "left").crossJoin(F.broadcast(every))  # every: one row
-    enough = lambda p, k: F.col(f"{p}_n_{k}") >= MIN_GROUP
-    last = lambda k: F.when(enough("c", k), F.col(f"c_{k}")) if k in AMONG_REPEATS else F.col(f"c_{k}")
-    chosen = [F.when(enough("a", k), F.col(f"a_{k}")).when(enough("b", k), F.col(f"b_{k}")).otherwise(last(k)).alias(f"t_{k}") for k in METRICS]
-    return table.select("lang", "source", *chosen)
+
+    def drawn(p: str, k: str, wider):
+        own, n = F.col(f"{p}_{k}"), F.coalesce(F.col(f"{p}_n_{k}"), F.lit(0))
+        return F.coalesce((n * own + PRIOR * wider) / (n + PRIOR), own, wider)
+
+    widest = lambda k: drawn("c", k, F.lit(1.0)) if k in AMONG_REPEATS else F.col(f"c_{k}")
+    return table.select("lang", "source", *[drawn("a", k, drawn("b", k, widest(k))).alias(f"t_{k}") for k in METRICS])
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None, narrow: bool = True) -> DataFrame:
