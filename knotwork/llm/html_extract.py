@@ -66,14 +66,18 @@ class Page:
         self.linked: list[bool] = []
         self.controls = [0]
         stack: list[tuple[str, int]] = [("html", 0)]  # (tag, node it belongs to)
-        links = 0
+        # places in the stack, but the first: of each tag, of all that aren't inline, of limits; so no step looks down the stack
+        self.open: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.limits: list[int] = []
+        endless: set[str] = set()  # raw elements that nothing ends from here on
         at = 0
         while True:
             m = _TAG.search(source, at)
             piece = source[at : m.start()] if m else source[at:]
             if piece:
                 self.text.append((stack[-1][1], entities.unescape(piece)))
-                self.linked.append(links > 0)
+                self.linked.append(bool(self.open.get("a")))
             if not m:
                 break
             at = m.end()
@@ -84,31 +88,47 @@ class Page:
             if m[1]:
                 self._end(stack, name)
             elif name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                 if not m[3].endswith("/"):
+                    end = None if name in endless else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+                    if end is None:
+                        endless.add(name)
                     at = end.end() if end else len(source) if name in ("script", "style") else at
             else:
                 self._start(stack, name, m[3])
-            links = sum(1 for t, _ in stack if t == "a")
+
+    def _push(self, stack: list, name: str, node: int) -> None:
+        k = len(stack)
+        stack.append((name, node))
+        self.open.setdefault(name, []).append(k)
+        if name not in INLINE:
+            self.blocks.append(k)
+        if name in LIMITS:
+            self.limits.append(k)
 
     def _pop(self, stack: list, k: int) -> None:
         """Close everything from place k of the stack."""
         for tag, node in stack[k:]:
+            self.open[tag].pop()
             if tag not in INLINE:
                 self._edge(node)
         del stack[k:]
+        for places in (self.blocks, self.limits):
+            while places and places[-1] >= k:
+                places.pop()
+
+    def _top(self, name: str) -> int:
+        """The last place of a tag in the stack; 0: it isn't open."""
+        places = self.open.get(name)
+        return places[-1] if places else 0
 
     def _edge(self, node: int) -> None:
         self.text.append((node, None))
         self.linked.append(False)
 
     def _end(self, stack: list, name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == name:
-                self._pop(stack, k)
-                return
-            if name in INLINE and stack[k][0] not in INLINE:
-                return
+        k = self._top(name)
+        if k and not (name in INLINE and self.blocks and self.blocks[-1] > k):
+            self._pop(stack, k)
 
     def _start(self, stack: list, name: str, attributes: str) -> None:
         if name in CONTROLS:
@@ -120,16 +140,12 @@ class Page:
             self.linked.append(False)
             return
         if name in CLOSES_P or name in SAME:
-            wanted = SAME.get(name, ("p",))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in wanted or stack[k][0] == "p" and name in CLOSES_P:
-                    self._pop(stack, k)
-                    break
-                if stack[k][0] in LIMITS:
-                    break
+            k = max(map(self._top, (*SAME.get(name, ("p",)), *(("p",) if name in CLOSES_P else ()))))
+            if k and not (self.limits and self.limits[-1] > k):
+                self._pop(stack, k)
         if name in INLINE:
             if name not in VOID and not attributes.endswith("/"):
-                stack.append((name, stack[-1][1]))
+                self._push(stack, name, stack[-1][1])
             return
         if name in VOID:
             self._edge(stack[-1][1])
@@ -141,7 +157,7 @@ class Page:
         self.tokens.append(frozenset(x.lower() for x in _PART.findall(words)))
         self.controls.append(0)
         self._edge(node)
-        stack.append((name, node))
+        self._push(stack, name, node)
 
     def features(self) -> np.ndarray:
         """A row of features for each node."""
