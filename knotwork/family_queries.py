@@ -136,6 +136,19 @@ FAMILIES: dict[str, tuple[str, str | None]] = {
     "show_indexes": ("CREATE NODE TABLE T8(id INT64 PRIMARY KEY); CREATE INDEX by_id FOR (t:T8) ON (t.id); CALL show_indexes() RETURN table_name, index_name", "SELECT 'T8' AS table_name, 'by_id' AS index_name"),
     "stats_info": ("CALL stats_info('Customer') RETURN cardinality AS n", "SELECT count(*) AS n FROM customer"),
     "current_setting": ("CALL warning_limit = 5; CALL current_setting('warning_limit') RETURN *", "SELECT '5' AS warning_limit"),
+    # shapes of the published workload: a long path, cycles, stars, fan-outs, optional and absent branches
+    "shape_path": (
+        "MATCH (:Region)<-[:IN_REGION]-(:Nation)<-[:IN_NATION]-(:Customer)-[:PLACED]->(:Orders)-[:CONTAINS]->(:Part)<-[:SUPPLIED]-(:Supplier)-[:IN_NATION]->(:Nation)-[:IN_REGION]->(:Region)<-[:IN_REGION]-(:Nation) RETURN count(*) AS n",
+        "SELECT CAST(sum(k) AS BIGINT) AS n FROM lineitem JOIN (SELECT pk, sum(m) AS k FROM (SELECT DISTINCT l_partkey AS pk, l_suppkey AS sk FROM lineitem) JOIN supplier ON s_suppkey=sk JOIN nation ON n_nationkey=s_nationkey JOIN (SELECT n_regionkey AS r, count(*) AS m FROM nation GROUP BY 1) ON r=n_regionkey GROUP BY 1) ON pk=l_partkey",
+    ),
+    "shape_two_paths": ("MATCH (c:Customer)-[:PLACED]->(o:Orders)-[:CONTAINS]->(p:Part), (c)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(s:Supplier)-[:SUPPLIED]->(p) RETURN count(*) AS n", "SELECT count(*) AS n FROM (SELECT DISTINCT l_suppkey AS sk, l_partkey AS pk FROM lineitem) JOIN supplier ON s_suppkey=sk JOIN lineitem l ON l.l_partkey=pk JOIN orders ON o_orderkey=l.l_orderkey JOIN customer ON c_custkey=o_custkey WHERE c_nationkey=s_nationkey"),
+    "shape_ring": ("MATCH (a:Supplier)-[:SUPPLIED]->(p:Part)<-[:SUPPLIED]-(b:Supplier)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(a) RETURN count(*) AS n", "WITH x AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p, s_nationkey AS n FROM lineitem JOIN supplier ON s_suppkey=l_suppkey) SELECT count(*) AS n FROM x JOIN x y ON x.p=y.p AND x.n=y.n"),
+    "shape_star": ("MATCH (n:Nation)<-[:IN_NATION]-(x:Customer:Supplier), (n)-[:IN_REGION]->(:Region), (n)<-[:IN_NATION]-(:Supplier) RETURN count(*) AS n", "SELECT CAST(sum((c+s)*s) AS BIGINT) AS n FROM (SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey=n_nationkey) AS c, (SELECT count(*) FROM supplier WHERE s_nationkey=n_nationkey) AS s FROM nation)"),
+    "shape_wide_star": ("MATCH (o:Orders)-[:CONTAINS]->(:Part), (o)-[:CONTAINS]->(:Part), (o)<-[:PLACED]-(:Customer)-[:IN_NATION]->(:Nation) RETURN count(*) AS n", "SELECT CAST(sum(k*k) AS BIGINT) AS n FROM (SELECT count(*) AS k FROM lineitem GROUP BY l_orderkey)"),
+    "shape_fan_out": ("MATCH (a:Customer)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(b:Customer)-[:PLACED]->(o:Orders) RETURN count(*) AS n", "SELECT CAST(sum(m) AS BIGINT) AS n FROM orders JOIN customer ON c_custkey=o_custkey JOIN (SELECT c_nationkey AS k, count(*) AS m FROM customer GROUP BY 1) ON k=c_nationkey"),
+    "shape_optional": ("MATCH (o:Orders) OPTIONAL MATCH (o)-[:CONTAINS]->(p:Part) OPTIONAL MATCH (o)<-[:PLACED]-(c:Customer {c_mktsegment: 'BUILDING'}) RETURN count(*) AS n, count(p) AS p, count(c) AS c", "SELECT count(*) AS n, count(l_partkey) AS p, count(c_custkey) AS c FROM orders LEFT JOIN lineitem ON l_orderkey=o_orderkey LEFT JOIN customer ON c_custkey=o_custkey AND c_mktsegment='BUILDING'"),
+    "shape_absent": ("MATCH (s:Supplier)-[:SUPPLIED]->(p:Part) WHERE NOT EXISTS { MATCH (p)<-[:CONTAINS]-(o:Orders) WHERE o.o_orderpriority = '1-URGENT' AND o.o_orderstatus = 'P' } RETURN count(*) AS n", "SELECT count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) x WHERE NOT EXISTS (SELECT 1 FROM lineitem y JOIN orders ON o_orderkey=y.l_orderkey WHERE y.l_partkey=x.l_partkey AND o_orderpriority='1-URGENT' AND o_orderstatus='P')"),
+    "shape_absent_fan_out": ("MATCH (a:Customer)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(b:Customer)-[:PLACED]->(o:Orders) WHERE NOT EXISTS { MATCH (a)-[:PLACED]->(:Orders {o_orderpriority: '1-URGENT'}) } RETURN count(*) AS n", "SELECT CAST(sum(m) AS BIGINT) AS n FROM orders JOIN customer ON c_custkey=o_custkey JOIN (SELECT c_nationkey AS k, count(*) AS m FROM customer x WHERE NOT EXISTS (SELECT 1 FROM orders y WHERE y.o_custkey=x.c_custkey AND o_orderpriority='1-URGENT') GROUP BY 1) ON k=c_nationkey"),
     # paths with weights and cycles, whole-graph algorithms over graphs that grow
     "wshortest_cycles": (_NEAR + "MATCH (a:Nation)-[e:NEAR* WSHORTEST(w) 1..4]->(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b, cost(e) AS c", f"WITH RECURSIVE {_WAYS} SELECT a, b, c::DOUBLE AS c FROM best"),
     "all_wshortest_cycles": (_NEAR + "MATCH (a:Nation)-[e:NEAR* ALL WSHORTEST(w) 1..4]->(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b, cost(e) AS c, count(*) AS n", f"WITH RECURSIVE {_WAYS} SELECT a, b, c::DOUBLE AS c, count(*) AS n FROM ways JOIN best USING (a, b, c) GROUP BY 1, 2, 3"),

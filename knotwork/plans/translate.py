@@ -207,7 +207,10 @@ class Needs:
         self.of.setdefault(var, set()).add(prop.lower())
 
     def expr(self, e: Any) -> None:
-        if isinstance(e, A.PathPattern):
+        if isinstance(e, A.PathPattern):  # of a subquery: what it shares with the outside is read by identity
+            for part in e.parts:
+                if part.var:
+                    self.add(part.var, "=")
             self.path(e)
         elif isinstance(e, (list,)):
             for x in e:
@@ -640,13 +643,15 @@ class Translator:
         recursive = any(isinstance(p, A.RelPattern) and p.hops for path in paths for p in path.parts)
         return outer, free and bool(outer) and not recursive and (hops <= 1 or len(outer) == 1)
 
-    def subquery(self, frame: Frame, paths: list, where: tuple | None) -> tuple[Frame, list[tuple[Column, str]]]:
-        """The frame of a subquery's matches, and pairs of an outer column and the inner column that must equal it."""
+    def subquery(self, frame: Frame, paths: list, where: tuple | None, closed: bool = False) -> tuple[Frame, list[tuple[Column, str]]]:
+        """The frame of a subquery's matches, and pairs of an outer column and the inner column that must equal it.
+
+        closed: nothing outside reads what the subquery binds."""
         outer, free = self.correlation(frame, paths, where)
         hold = self.needs
         self.needs = self.inner_needs(paths, where)
         for v, props in hold.of.items():
-            if not (free and v in outer):  # worked out for all nodes at once: of those it reads only what it names itself
+            if not (free and v in outer) and (v in frame.scope or not closed):  # worked out for all nodes at once: of those it reads only what it names itself
                 self.needs.of.setdefault(v, set()).update(props)
         try:
             if free:
@@ -679,7 +684,7 @@ class Translator:
         return reduce(lambda x, y: x & y, conds) if conds else F.lit(True)
 
     def keyed(self, frame: Frame, paths: list, where: tuple | None) -> tuple[DataFrame, list[tuple[Column, str]]]:
-        got, pairs = self.subquery(frame, paths, where)
+        got, pairs = self.subquery(frame, paths, where, True)
         fresh = {b: self.fresh("j") for _, b in pairs}
         inner = got.df.select(*[F.col(b).alias(fresh[b]) for b in fresh], *([F.lit(1).alias("_one")] if not fresh else []))
         return inner, [(a, fresh[b]) for a, b in pairs]

@@ -129,6 +129,8 @@ def test_folded_counts_equal_joins(w):
     """Counts over branches that nothing reads give what the same pattern gives when everything is read."""
     for pattern, read in (("(x:Harbour)-[:ROUTE]->(y:Harbour)-[:ROUTE]->(z:Harbour)", "y.flag AS p, z.flag AS q"), ("(x:Harbour)<-[:ROUTE]-(y:Harbour), (x)-[:ROUTE]->(z:Harbour)", "y.flag AS p, z.flag AS q"), ("(x:Harbour)-[:ROUTE]-(y:Harbour)-[:ROUTE]-(z:Harbour)", "y.flag AS p, z.flag AS q"), ("(y:Harbour)-[:ROUTE]->(x:Harbour)<-[:CALLS]-(z:Ship)", "y.flag AS p, z.tons AS q")):
         assert w.rows(f"MATCH {pattern} RETURN count(*)") == w.rows(f"MATCH {pattern} WITH x.code AS i, {read} RETURN count(*)")
+        for lone in ("NOT EXISTS { MATCH (y)-[:ROUTE]->(h:Harbour) WHERE h.depth < 12 }", "COUNT { MATCH (y)<-[:CALLS]-(:Ship) } > 0"):  # reads a branch's end
+            assert w.rows(f"MATCH {pattern} WHERE {lone} RETURN count(*)") == w.rows(f"MATCH {pattern} WHERE {lone} WITH x.code AS i, {read} RETURN count(*)")
         assert w.rows(f"MATCH {pattern} RETURN x.code, count(*), sum(x.depth), avg(x.depth)") == w.rows(f"MATCH {pattern} WITH x.code AS i, x.depth AS t, {read} RETURN i, count(*), sum(t), avg(t)")
 
 
