@@ -30,7 +30,7 @@ from knotwork.llm.common import broadcast_up_to, fresh, map_columns, materialize
 #: Relative error of the sketches.
 ERROR = 0.01
 #: How many values a wider group's fence counts for against a group's own.
-PRIOR = 100
+PRIOR = 20
 #: A value is an outlier above q75 + FENCE * (q75 - q25) ...
 FENCE = 4.0
 #: ... and at least GUARD, and twice the sketch's error, above q75, for groups whose values are all alike.

@@ -79,7 +79,7 @@ def test_pipeline(spark, tmp_path):
         out.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         by_stage[name] = sorted(map(tuple, docs.collect()), key=str)
-    # rules: groups are under MIN_GROUP, so the thresholds are those of all documents; the fixture's metrics stay under the floors but for symbols
+    # rules: the fixture's metrics stay under the fences but for symbols
     good = [x for x in rows if x[1] and len(x[1].split()) >= 50 and brute_repeats(x[1]) * 2 <= len(x[1].split()) and "###" not in x[1]]
     assert by_stage["quality rules"] == sorted(good, key=str)
     keep = {c for _, c, _, _ in brute_classes([(x[0], x[1]) for x in good])}

@@ -36,7 +36,7 @@ def test_quality_rules_by_exact_quantiles(spark):
         low, high = (x[int(np.ceil(r * len(x))) - 1] for r in (0.25, 0.75))
         return len(x), high + max(4 * (high - low), 0.02 + 0.02 * high)
 
-    mix = lambda own, wider: (own[0] * own[1] + 100 * wider) / (own[0] + 100)
+    mix = lambda own, wider: (own[0] * own[1] + quality_rules.PRIOR * wider) / (own[0] + quality_rules.PRIOR)
     got = {r["doc_id"]: r["kept"] for r in Q.op8_quality_rules(spark, SF).collect()}
     sure = rejected = 0
     limits = set()
