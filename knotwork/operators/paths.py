@@ -107,7 +107,7 @@ def extend(tr, state: dict, e: dict, tables: dict, read, bind, in_paths: set) ->
     high = cap if high is None else high
     if high < low or high > cap and r.hops[1] is not None and high > cap:
         raise BinderError(f"Lower bound of rel {e['name']} is greater than upper bound, or the bound exceeds {cap}.")
-    mode = r.mode
+    mode = r.mode or str(tr.session.settings["recursive_pattern_semantic"]).upper()
     if "SHORTEST" in mode and low != 1:
         raise BinderError("Lower bound of shortest/all_shortest path must be 1.")
     forward = e["left"] in state["scope"]

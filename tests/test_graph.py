@@ -84,6 +84,9 @@ def test_walks_trails_and_acyclic_paths(w):
     ask = "MATCH (x:Harbour)-[e:ROUTE* {} 1..3]->(y:Harbour) RETURN x.code, y.code, length(e), count(*)"
     assert w.rows(ask.format("")) == flat(count(map(ends, w.walks(3))))
     assert w.rows(ask.format("TRAIL")) == flat(count(map(ends, w.walks(3, lambda p, e: e not in p))))
+    w.session.execute("CALL recursive_pattern_semantic = 'trail'")
+    assert w.rows(ask.format("")) == w.rows(ask.format("TRAIL")) != w.rows(ask.format("WALK"))
+    w.session.execute("CALL recursive_pattern_semantic = 'walk'")
     # the inner places differ; a path may end where it has been
     assert w.rows(ask.format("ACYCLIC")) == flat(count(map(ends, w.walks(3, lambda p, e: w.routes[e][0] not in [w.routes[x][0] for x in p[1:]]))))
     quick = w.walks(3, lambda p, e: w.routes[e][2] < 6 and (not p or w.harbours[w.routes[e][0]][0] > 8))
