@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -115,20 +115,42 @@ def page_rank(v: DataFrame, e: DataFrame, damping: float = 0.85, tolerance: floa
     return score
 
 
+def _numbers(v: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """v and e with one whole number for each vertex where tables and offsets fit into it, and the vertex of a number v."""
+    t0, t1, low, high = v.agg(F.min("v.table"), F.max("v.table"), F.min("v.offset"), F.max("v.offset")).first()
+    if low is None or (high - low + 1) * (t1 - t0 + 1) >= 2**63:
+        return v, e, F.col("v")
+    wide = F.lit(t1 - t0 + 1).cast("bigint")
+    number = lambda c: F.when(F.col(f"{c}.offset").between(low, high) & F.col(f"{c}.table").between(t0, t1), (F.col(f"{c}.offset") - low) * wide + F.col(f"{c}.table") - t0).alias(c)
+    back = F.struct((F.col("v") % wide + t0).alias("table"), (F.floor(F.col("v") / wide) + low).cast("bigint").alias("offset"))
+    return v.select(number("v")), e.select(number("a"), number("b")), back
+
+
 def k_core_decomposition(v: DataFrame, e: DataFrame) -> DataFrame:
-    """(v, core): each vertex's bound falls to the h-index of its neighbours' bounds until none moves. Self-loops add 2."""
-    both = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("m")))
-    degree = both.groupBy(F.col("a").alias("v")).agg(F.sum("m").alias("core"))
-    now, moved = materialize(v.join(degree, "v", "left").select("v", F.coalesce("core", F.lit(0)).cast("bigint").alias("core"))), 1
+    """(v, core): each vertex's bound, at first its degree, falls to the h-index of its neighbours' bounds until none moves.
+    Self-loops add 2.
+
+    A vertex falls only if fewer edges than its bound lead to bounds as high. Those edges are counted once and then lessened by
+    what falls, so a round reads the edges of the vertices that fall in it and no others."""
+    nodes, links, back = _numbers(v, e)
+    links = materialize(links)
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.groupBy(F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("core"))
+    now = materialize(nodes.join(degree, "v"))
+    ends = links.join(now.select(F.col("v").alias("a"), F.col("core").alias("ca")), "a").join(now.select(F.col("v").alias("b"), F.col("core").alias("cb")), "b")
+    held = ends.select(F.inline(F.array(F.struct(F.col("a").alias("v"), (F.col("cb") >= F.col("ca")).alias("up")), F.struct(F.col("b").alias("v"), (F.col("ca") >= F.col("cb")).alias("up")))))
+    now = materialize(now.join(held.filter("up").groupBy("v").agg(F.count(F.lit(1)).alias("held")), "v", "left").select("v", "core", F.coalesce("held", F.lit(0)).alias("held")))
     down = W.partitionBy("v").orderBy(F.col("k").desc()).rowsBetween(W.unboundedPreceding, 0)
-    while moved:
-        seen = both.join(now.select(F.col("v").alias("b"), F.col("core").alias("cb")), "b").join(now.select(F.col("v").alias("a"), F.col("core").alias("ca")), "a")
-        counted = seen.groupBy(F.col("a").alias("v"), F.least("ca", "cb").alias("k")).agg(F.sum("m").alias("m"))
-        h = counted.select("v", F.least("k", F.sum("m").over(down)).alias("h")).groupBy("v").agg(F.max("h").alias("h"))
-        new = materialize(now.join(h, "v", "left").select("v", F.col("core").alias("old"), F.least("core", F.coalesce("h", F.lit(0))).alias("core")))
-        moved = new.filter("old <> core").count()
-        now = new.select("v", "core")
-    return now
+    while not (weak := materialize(now.filter("held < core").select("v", "core"))).isEmpty():
+        ways = materialize(both.join(weak.select(F.col("v").alias("a"), F.col("core").alias("ca")), "a").join(now.select(F.col("v").alias("b"), F.col("core").alias("cb")), "b"))
+        counted = ways.groupBy(F.col("a").alias("v"), F.least("ca", "cb").alias("k")).agg(F.count(F.lit(1)).alias("m"))
+        counted = counted.select("v", "k", F.sum("m").over(down).alias("m")).withColumn("h", F.max(F.least("k", "m")).over(W.partitionBy("v")))
+        h = counted.filter("k >= h").groupBy("v").agg(F.max("h").alias("h"), F.max("m").alias("up"))
+        fell = materialize(weak.join(h, "v", "left").select("v", F.coalesce("h", F.lit(0)).alias("h"), F.coalesce("up", F.lit(0)).alias("up")))
+        left = ways.join(fell.select(F.col("v").alias("a"), "h"), "a").filter("h < cb").join(fell.select(F.col("v").alias("b"), F.col("h").alias("hb")), "b", "left").withColumn("cb", F.coalesce("hb", "cb"))
+        lost = left.filter("h < cb AND cb <= ca").groupBy(F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("lost"))
+        now = materialize(now.join(fell, "v", "left").join(lost, "v", "left").select("v", F.coalesce("h", "core").alias("core"), (F.coalesce("up", "held") - F.coalesce("lost", F.lit(0))).alias("held")))
+    return v.join(now.select(back.alias("v"), "core"), "v", "left").select("v", F.coalesce("core", F.lit(0)).cast("bigint").alias("core"))
 
 
 def louvain(v: DataFrame, e: DataFrame, max_iterations: int = 20, max_phases: int = 20) -> DataFrame:

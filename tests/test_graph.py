@@ -250,6 +250,35 @@ def test_k_core(net):
     assert call(s, "k_core_decomposition", "core") == core
 
 
+@pytest.mark.parametrize("far", [1, 2**58])
+def test_k_core_reads_the_edges_of_falling_vertices_only(spark, monkeypatch, far):
+    """Offsets that fit a number with their table, and such that don't; an edge that leads nowhere; the rows of each round."""
+    from pyspark.sql import functions as F
+
+    from knotwork.operators import algorithms
+
+    r, point = random.Random(5), lambda t, k: (t, (k - 9) * far)
+    n = {point(t, k) for t in (3, 7) for k in range(20)}
+    e = [(point(3, r.randrange(20)), point(7, r.randrange(1, 20))) for _ in range(90)] + [(point(3, 1), point(3, 1))] * 2
+    kind = "struct<table:bigint,offset:bigint>"
+    v = spark.createDataFrame([(x,) for x in sorted(n)], f"v {kind}")
+    edges = spark.createDataFrame([*e, (point(3, 2), (7, 900))], f"a {kind}, b {kind}")
+    core = {x: sum((a == x) + (b == x) for a, b in [*e, (point(3, 2), None)]) for x in n}
+    read, near = 0, {x: [b for a, b in e if a == x] + [a for a, b in e if b == x] for x in n}
+    while True:
+        h = {x: max((k for k in range(1, core[x] + 1) if sum(core[y] >= k for y in near[x]) >= k), default=0) for x in n}
+        fell = [x for x in n if h[x] < core[x]]
+        if not fell:
+            break
+        read += sum(len(near[x]) for x in fell)
+        core |= {x: h[x] for x in fell}
+    rows, kept = [], algorithms.materialize
+    monkeypatch.setattr(algorithms, "materialize", lambda df: rows.append((df.columns, (out := kept(df)).count())) or out)
+    got = algorithms.k_core_decomposition(v, edges).select(F.col("v.table").alias("t"), F.col("v.offset").alias("o"), "core").collect()
+    assert {(x["t"], x["o"]): x["core"] for x in got} == core and len(got) == len(n)
+    assert sum(k for c, k in rows if {"ca", "cb"} <= set(c)) == read < 2 * len(e) * 3
+
+
 def test_levels_and_cycles(spark):
     s = Session(spark)
     s.catalog.add_nodes("N", spark.createDataFrame([(i,) for i in range(6)], "id long"), "id")
